@@ -95,8 +95,13 @@ def lookup_join(
     spread: Sequence[str],
     how: str = "inner",
     rows: int = BROADCAST_ROWS,
+    known_rows: int | None = None,
 ) -> DataFrame:
-    """Join facts to a vocabulary-sized table: broadcast if it fits, else a salted shuffle join."""
-    if fits_broadcast(table, rows):
+    """Join facts to a vocabulary-sized table: broadcast if it fits, else a salted shuffle join.
+
+    ``known_rows`` is a proven bound of the table's size and saves the counting job.
+    """
+    small = known_rows <= rows if known_rows is not None else fits_broadcast(table, rows)
+    if small:
         return facts.join(F.broadcast(table), list(keys), how)
     return salted_join(facts, table, keys, spread, how)

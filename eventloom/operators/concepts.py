@@ -123,6 +123,14 @@ def resolve_all(vocabulary: Vocabulary, specs: Mapping[str, Sequence[ConceptSpec
     return out.distinct()
 
 
+def known_size(specs: Mapping[str, Sequence[ConceptSpec]]) -> int | None:
+    """Rows of the resolved table if every set is plain ids, else unknown until counted."""
+    parts = [c for cs in specs.values() for c in cs]
+    if any(c.codes or c.ancestors or c.names or c.ingredients for c in parts):
+        return None
+    return sum(len(c.ids) for c in parts)
+
+
 def resolve(vocabulary: Vocabulary, *specs: ConceptSpec) -> DataFrame:
     return resolve_all(vocabulary, {"set": specs}).select("concept_id")
 

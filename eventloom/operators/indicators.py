@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import decode_result, has_any_value, ilike_any, is_elevated
 from ..functions.skew import literal_table, lookup_join
 from ..schema import CONDITION, DRUG, MEASUREMENT, OBSERVATION, PROCEDURE, VISIT
-from .concepts import ConceptSpec, Vocabulary, resolve_all
+from .concepts import ConceptSpec, Vocabulary, known_size, resolve_all
 from .windows import Window, cohort_windows, explode_matching, with_windows
 
 # kind -> (domain, reads source text, gate)
@@ -134,8 +134,11 @@ def _parameters(specs: Sequence[IndicatorSpec]) -> list[tuple]:
     ]
 
 
-def membership(vocabulary: Vocabulary, specs: Sequence[IndicatorSpec]) -> DataFrame:
-    """``(domain, concept_id, hits)`` with ``hits`` the array of (indicator, role)."""
+def membership(vocabulary: Vocabulary, specs: Sequence[IndicatorSpec]) -> tuple[DataFrame, int | None]:
+    """``(domain, concept_id, hits)`` with ``hits`` the array of (indicator, role).
+
+    The second value bounds the number of rows where all sets are plain ids.
+    """
     sets: dict[str, list[ConceptSpec]] = {}
     for s in specs:
         domain = KINDS[s.kind][0]
@@ -146,9 +149,10 @@ def membership(vocabulary: Vocabulary, specs: Sequence[IndicatorSpec]) -> DataFr
             sets[f"{OBSERVATION}|{s.name}|main"] = [ConceptSpec(ids=s.observation_ids)]
     pairs = resolve_all(vocabulary, sets)
     part = F.split("set_id", r"\|")
-    return pairs.groupBy(part[0].alias("domain"), "concept_id").agg(
+    table = pairs.groupBy(part[0].alias("domain"), "concept_id").agg(
         F.collect_set(F.struct(part[1].alias("indicator"), part[2].alias("role"))).alias("hits")
     )
+    return table, known_size(sets)
 
 
 _HIT = "array<struct<indicator:string,role:string>>"
@@ -215,12 +219,13 @@ def daily_hits(
         domains = {KINDS[s.kind][0] for s in coded} | ({OBSERVATION} if any(s.observation_ids for s in coded) else set())
         rows = events.where(F.col("domain").isin(*sorted(domains)))
         texts = _text_hits(coded)
-        members = membership(vocabulary, coded)
+        members, known = membership(vocabulary, coded)
         none = F.array().cast(_HIT)
         if texts is None:
-            rows = lookup_join(rows, members, ["domain", "concept_id"], ["event_id"]).withColumn("_hits", F.col("hits").cast(_HIT))
+            rows = lookup_join(rows, members, ["domain", "concept_id"], ["event_id"], known_rows=known)
+            rows = rows.withColumn("_hits", F.col("hits").cast(_HIT))
         else:
-            rows = lookup_join(rows, members, ["domain", "concept_id"], ["event_id"], "left")
+            rows = lookup_join(rows, members, ["domain", "concept_id"], ["event_id"], "left", known_rows=known)
             hits = F.coalesce(F.col("hits").cast(_HIT), none)
             twice = [s.name for s in coded if s.kind == "DRUG_REPEAT_AT_LEAST_N" and s.text]
             # A repeated-drug row that matches by concept and by text counts twice; elsewhere once.
