@@ -1,11 +1,11 @@
-"""Running totals, ranks and exact quantiles that never gather a large group in one task.
-
-The input of every function is first collapsed to one row per distinct value of
-a group.  Groups with few distinct values are ordered by one window sort.  A
-group with more than ``heavy_rows`` distinct values is cut into value ranges at
-split points taken from the group itself: the values whose hash falls below a
-threshold, so the same split points come back when a task is recomputed.  Every
-range is ordered on its own and the totals of the ranges before it are added.
+"""Running totals, ranks and exact quantiles that never order a whole group in one task.
+
+The input is first collapsed to one row per distinct value of a group.  Values
+then fall into narrow ranges by a fixed monotone function of the value, about a
+quarter of a percent wide.  Every (group, range) is ordered on its own, and the
+totals of the lower ranges of the group, a few thousand rows at most, are added.
+A group that holds a third of all rows is thus spread over hundreds of tasks,
+and a recomputed task assigns the same ranges again.
 """
 
 from __future__ import annotations
@@ -16,95 +16,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .skew import HEAVY_ROWS
+RANGES_PER_E = 400
+_SMALLEST = 1e-6
 
-SPLITS = 128
-_SPAN = 2**30
 
+def value_range(value: Column) -> Column:
+    """Number of the value's range; rises with the value, NaN comes last."""
+    size = F.floor(F.least(F.lit(1e6), F.log1p(F.abs(value) / F.lit(_SMALLEST)) * F.lit(float(RANGES_PER_E))))
+    number = F.when(value < 0, -size).otherwise(size)
+    return F.when(F.isnan(value), F.lit(10_000_000)).otherwise(number).cast("long")
 
-def running_totals(
-    distinct: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    measures: Sequence[str],
-    heavy_rows: int = HEAVY_ROWS,
-    splits: int = SPLITS,
-) -> DataFrame:
+
+def running_totals(distinct: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     """Add ``<m>_before`` (sum over smaller values) and ``<m>_total`` for each measure.
 
     ``distinct`` must hold one row per (keys, value).
     """
-    keys = list(keys)
-    measures = list(measures)
-    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys]
-    condition = F.lit(True)
-    for part in same:
-        condition = condition & part
-
-    sizes = (
-        distinct.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_distinct"), *[F.sum(m).alias(f"_sum_{m}") for m in measures])
-        .where(F.col("_distinct") > heavy_rows)
-    )
-    # At most (distinct rows / heavy_rows) groups, hence the broadcasts below.
-    sizes_b = F.broadcast(sizes)
-    share = F.pmod(F.xxhash64(F.col(f"d.{value}")), F.lit(_SPAN)) / F.lit(float(_SPAN))
-    cuts = (
-        distinct.alias("d")
-        .join(sizes_b.alias("h"), condition)
-        .where(share < F.lit(float(splits)) / F.col("h._distinct"))
-        .groupBy(*[F.col(f"h.{k}").alias(k) for k in keys])
-        .agg(F.sort_array(F.collect_set(F.col(f"d.{value}"))).alias("_cuts"))
-    )
-    heavy = sizes.alias("d").join(F.broadcast(cuts).alias("h"), condition, "left").select("d.*", "h._cuts")
-    ranged = (
-        distinct.alias("d")
-        .join(F.broadcast(heavy).alias("h"), condition, "left")
-        .select(
-            "d.*",
-            F.when(
-                F.col("h._cuts").isNotNull(),
-                F.size(F.filter(F.col("h._cuts"), lambda c: c <= F.col(f"d.{value}"))),
-            )
-            .otherwise(F.lit(0))
-            .alias("_range"),
-            F.col("h._distinct").isNotNull().alias("_split"),
-            *[F.col(f"h._sum_{m}").alias(f"_sum_{m}") for m in measures],
-        )
-    )
-    by_range = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.where("_split")
-        .groupBy(*keys, "_range")
-        .agg(*[F.sum(m).alias(f"_part_{m}") for m in measures])
-        .select(
-            *keys,
-            "_range",
-            *[F.coalesce(F.sum(f"_part_{m}").over(by_range), F.lit(0)).alias(f"_off_{m}") for m in measures],
-        )
-    )
-    in_range = W.partitionBy(*keys, "_range")
-    before = in_range.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    local = ranged.select(
-        "*",
-        *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_loc_{m}") for m in measures],
-        *[F.sum(m).over(in_range).alias(f"_all_{m}") for m in measures],
+    keys, measures = list(keys), list(measures)
+    ranged = distinct.withColumn("_range", value_range(F.col(value).cast("double")))
+    parts = ranged.groupBy(*keys, "_range").agg(*[F.sum(m).alias(f"_part_{m}") for m in measures])
+    group = W.partitionBy(*keys)
+    lower = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.col("_range").alias("_at"),
+        *[F.coalesce(F.sum(f"_part_{m}").over(lower), F.lit(0)).alias(f"_off_{m}") for m in measures],
+        *[F.sum(f"_part_{m}").over(group).alias(f"{m}_total") for m in measures],
     )
-    match = condition & (F.col("h._range") == F.col("d._range"))
-    return (
-        local.alias("d")
-        .join(F.broadcast(offsets).alias("h"), match, "left")
-        .select(
-            *[f"d.{c}" for c in distinct.columns],
-            *[
-                (F.col(f"d._loc_{m}") + F.coalesce(F.col(f"h._off_{m}"), F.lit(0))).alias(f"{m}_before")
-                for m in measures
-            ],
-            *[
-                F.when(F.col("d._split"), F.col(f"d._sum_{m}")).otherwise(F.col(f"d._all_{m}")).alias(f"{m}_total")
-                for m in measures
-            ],
-        )
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    before = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return ranged.join(offsets, same).select(
+        *distinct.columns,
+        *[(F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(before), F.lit(0))).alias(f"{m}_before") for m in measures],
+        *[f"{m}_total" for m in measures],
     )
 
 
@@ -119,26 +65,15 @@ def quantile(value: str, prob: float, weight: str = "n") -> Column:
     low, high = F.floor(position), F.ceil(position)
     lower = _at_rank(F.col(value), weight, low)
     upper = _at_rank(F.col(value), weight, high)
-    fraction = F.max(position - low)
-    return lower + (upper - lower) * fraction
+    return lower + (upper - lower) * F.max(position - low)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    heavy_rows: int = HEAVY_ROWS,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles per group: one output column per entry of ``probs``."""
     keys = list(keys)
-    helper = [] if keys else ["_all"]
-    if helper:
-        df = df.withColumn("_all", F.lit(0))
-    group = keys or helper
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(distinct, group, value, ["n"], heavy_rows)
-    out = ranked.groupBy(*group).agg(
+    usable = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    distinct = usable.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(distinct, keys, value, ["n"])
+    return ranked.groupBy(*keys).agg(
         F.sum("n").alias("n_values"), *[quantile(value, p).alias(name) for name, p in probs.items()]
     )
-    return out.drop(*helper)

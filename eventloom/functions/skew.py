@@ -2,8 +2,7 @@
 
 Nothing here assumes that a side is small.  A side is broadcast only after its
 size has been proven: literal tables are built from Python rows whose number is
-known, vocabulary-sized tables are counted up to the bound first, and the table
-of heavy keys can hold at most ``total rows / heavy_rows`` entries.
+known, and vocabulary-sized tables are counted up to the bound first.
 """
 
 from __future__ import annotations
@@ -28,6 +27,9 @@ BROADCAST_ROWS = 500_000
 LITERAL_ROWS = 50_000
 """Largest table that may be built from Python literals."""
 
+SAMPLE = 0.01
+"""Share of the rows that is counted to find heavy keys."""
+
 
 def literal_table(spark: SparkSession, rows: Sequence, schema: str) -> DataFrame:
     """Turn specification rows into a broadcast table; their number is checked here."""
@@ -45,13 +47,17 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys with more than ``heavy_rows`` rows: at most ``count / heavy_rows`` of them.
+def heavy_keys(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS, fraction: float = SAMPLE) -> DataFrame:
+    """Keys with more than ``heavy_rows`` rows, judged on a sample of the key columns.
 
-    The count is combined on the map side, so the heavy key itself never moves.
+    Only the balance of a join depends on the answer, never its result.  There
+    are at most ``count / heavy_rows`` such keys, and the count is combined on
+    the map side, so a heavy key itself never moves.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counted.where(F.col("_rows") > heavy_rows).select(*keys)
+    slim = df.select(*keys)
+    slim = slim.sample(fraction=fraction, seed=17) if fraction < 1 else slim
+    counted = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return counted.where(F.col("_rows") > heavy_rows * fraction).select(*keys)
 
 
 def salted_join(
@@ -60,25 +66,36 @@ def salted_join(
     keys: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
+    heavy: DataFrame | None = None,
     heavy_rows: int = HEAVY_ROWS,
+    fraction: float = SAMPLE,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join in which the rows of heavy keys of ``facts`` are spread by hash.
 
-    ``spread`` names fact columns whose hash picks the slice, so a recomputed
-    task sends a row to the same slice again.  Only the rows of ``other`` that
-    carry a heavy key are repeated.
+    Heavy keys are looked for in ``heavy`` (rows carrying the keys, ``facts`` if
+    not given).  Without any the plain join is planned.  ``spread`` names fact
+    columns whose hash picks the slice, so a recomputed task sends a row to the
+    same slice again.  Only the rows of ``other`` that carry a heavy key are
+    repeated.
     """
     keys = list(keys)
-    heavy = F.broadcast(heavy_keys(facts, keys, heavy_rows).withColumn("_heavy", F.lit(True)))
+    candidates = heavy_keys(facts if heavy is None else heavy, keys, heavy_rows, fraction)
+    found = candidates.limit(LITERAL_ROWS + 1).collect()
+    if not found:
+        return facts.join(other, keys, how)
+    if len(found) <= LITERAL_ROWS:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema.fields)
+        candidates = literal_table(facts.sparkSession, [tuple(r) for r in found], schema)
+    marked = candidates.withColumn("_heavy", F.lit(True))
     slice_of = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = (
-        facts.join(heavy, keys, "left")
+        facts.join(marked, keys, "left")
         .withColumn("_salt", F.when(F.col("_heavy"), slice_of).otherwise(F.lit(0)))
         .drop("_heavy")
     )
     right = (
-        other.join(heavy, keys, "left")
+        other.join(marked, keys, "left")
         .withColumn(
             "_salt",
             F.explode(F.sequence(F.lit(0), F.when(F.col("_heavy"), F.lit(salts - 1)).otherwise(F.lit(0)))),
@@ -101,6 +118,9 @@ def lookup_join(
 
     ``known_rows`` is a proven bound of the table's size and saves the counting job.
     """
+    if known_rows is None:
+        # Counted and joined: the vocabulary-sized table is evaluated once.
+        table = table.persist()
     small = known_rows <= rows if known_rows is not None else fits_broadcast(table, rows)
     if small:
         return facts.join(F.broadcast(table), list(keys), how)

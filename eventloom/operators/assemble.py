@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_quantiles
 from ..functions.skew import literal_table
+from ..session import materialise
 
 PIVOT_WIDTH = 500
 """Columns per pivot; wider matrices use several pivots on the same key."""
@@ -288,4 +289,7 @@ def assemble_full(
     fill += continuous + [c for c in cols["temporal_trends"] if "_delta_" in c]
     used = [baseline, *[b for b in blocks.values() if b is not None]]
     matrix = join_blocks(baseline, used, zero)
+    if fill:
+        # The medians and the result both read the matrix: it is written once in between.
+        matrix = materialise(matrix, "matrix")
     return miss_and_fill(matrix, fill), out

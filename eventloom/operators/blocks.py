@@ -538,7 +538,7 @@ def engagement_controls(
     """
     people = cohort.select("person_id", "index_date")
     slim = visits.select("person_id", "event_id", "event_date", "provider_id").distinct()
-    near = salted_join(slim, people, ["person_id"], ["event_id"]).where(
+    near = salted_join(slim, people, ["person_id"], ["event_id"], heavy=visits).where(
         F.col("event_date").between(F.date_add("index_date", -days), F.date_add("index_date", -1))
     )
     general = providers.where(F.col("specialty_concept_id").isin(*primary_care)).select(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import quantile, running_totals
-from ..functions.skew import HEAVY_ROWS, literal_table, lookup_join, salted_join
+from ..functions.skew import literal_table, lookup_join, salted_join
 from .concepts import ConceptSpec, Vocabulary, resolve_all
 from .windows import Window, cohort_windows, explode_matching, with_windows
 
@@ -54,7 +54,7 @@ def is_abnormal(value: Column | str = "value") -> Column:
 
 
 def lab_summary(
-    measurements: DataFrame, cohort: DataFrame, windows: Sequence[Window], members: DataFrame, heavy_rows: int = HEAVY_ROWS
+    measurements: DataFrame, cohort: DataFrame, windows: Sequence[Window], members: DataFrame
 ) -> DataFrame:
     """Long result per (person, window, lab): peak, median, last, abnormal count and flag.
 
@@ -68,14 +68,14 @@ def lab_summary(
         F.count(F.lit(1)).alias("n"), F.max("event_id").alias("event_id")
     )
     people = with_windows(cohort, windows)
-    inside = explode_matching(salted_join(cells, people, ["person_id"], ["event_date", "value"], heavy_rows=heavy_rows))
+    inside = explode_matching(salted_join(cells, people, ["person_id"], ["event_date", "value"], heavy=numeric))
     key = ["person_id", "window", "lab"]
     values = inside.groupBy(*key, "value").agg(
         F.sum("n").alias("n"),
         F.max(F.struct("event_date", "event_id")).alias("latest"),
         F.max(is_abnormal().cast("int")).alias("abnormal"),
     )
-    ranked = running_totals(values, key, "value", ["n"], heavy_rows)
+    ranked = running_totals(values, key, "value", ["n"])
     return ranked.groupBy(*key).agg(
         F.max("value").alias("peak"),
         quantile("value", 0.5).alias("median"),

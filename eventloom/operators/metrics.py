@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_quantiles, quantile, running_totals
 from ..functions.sampling import flag_first_k
-from ..functions.skew import HEAVY_ROWS
 from ..functions.stats import clip, expit, logit, mean_ci
 
 
@@ -24,13 +23,13 @@ def collapse(predictions: DataFrame, keys: Sequence[str], score: str = "p_raw",
 
 
 def ranking_metrics(
-    predictions: DataFrame, keys: Sequence[str], score: str = "p_raw", label: str = "y_true", heavy_rows: int = HEAVY_ROWS
+    predictions: DataFrame, keys: Sequence[str], score: str = "p_raw", label: str = "y_true"
 ) -> DataFrame:
     """Tie-aware AUROC (rank sum) and average precision (step sum) per key."""
     cells = collapse(predictions, keys, score, label).select(
         *keys, "p", F.col("y").alias("pos"), (F.col("n") - F.col("y")).alias("neg")
     )
-    r = running_totals(cells, keys, "p", ["pos", "neg"], heavy_rows)
+    r = running_totals(cells, keys, "p", ["pos", "neg"])
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
     both = (F.max("pos_total") > 0) & (F.max("neg_total") > 0)
@@ -152,7 +151,7 @@ def calibration_slope(
 
 def calibration_knots(
     predictions: DataFrame, keys: Sequence[str], n_knots: int = 20, frac: float = 0.66,
-    score: str = "p_raw", label: str = "y_true", heavy_rows: int = HEAVY_ROWS,
+    score: str = "p_raw", label: str = "y_true",
 ) -> DataFrame:
     """Tricube local-linear fit of the outcome at quantile knots.
 
@@ -162,7 +161,7 @@ def calibration_knots(
     """
     keys = list(keys)
     cells = collapse(predictions, keys, score, label)
-    ranked = running_totals(cells, keys, "p", ["n"], heavy_rows)
+    ranked = running_totals(cells, keys, "p", ["n"])
     shares = [i / (n_knots - 1) for i in range(n_knots)]
     half = frac / 2.0
 
@@ -225,13 +224,12 @@ def calibration_curve(knots: DataFrame, keys: Sequence[str], grid: Sequence[floa
 
 def calibration_errors(
     predictions: DataFrame, knots: DataFrame, keys: Sequence[str], score: str = "p_raw", label: str = "y_true",
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """ICI, E50 and E90: mean, median and 90 % quantile of abs(g(p) - p) over the rows."""
     cells = collapse(predictions, keys, score, label).join(_knot_arrays(knots, keys), list(keys))
     gap = F.abs(_interpolate(F.col("p"), F.col("_knots")) - F.col("p"))
     distinct = cells.select(*keys, gap.alias("d"), "n").groupBy(*keys, "d").agg(F.sum("n").alias("n"))
-    ranked = running_totals(distinct, list(keys), "d", ["n"], heavy_rows)
+    ranked = running_totals(distinct, list(keys), "d", ["n"])
     return ranked.groupBy(*keys).agg(
         (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("ici"), quantile("d", 0.5).alias("e50"), quantile("d", 0.9).alias("e90")
     )

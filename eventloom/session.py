@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -29,3 +30,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     return shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: its lineage ends there, and it survives lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
