@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_quantiles, quantile, running_totals
 from ..functions.sampling import flag_first_k
+from ..functions.skew import LITERAL_ROWS, literal_table
 from ..functions.stats import clip, expit, logit, mean_ci
 
 
@@ -82,35 +83,53 @@ def net_benefit(
 
 # ------------------------------------------------------------------ logistic calibration
 
-NEWTON_STEPS = 12
+NEWTON_STEPS = 25
 
 
-def _newton(cells: DataFrame, keys: Sequence[str], fit_slope: bool, steps: int) -> DataFrame:
-    """Grouped Newton iterations on (keys, z, n, y): one aggregation per step.
+def _newton(cells: DataFrame, keys: Sequence[str], fit_slope: bool, steps: int, tolerance: float = 1e-12) -> DataFrame:
+    """Grouped Newton iterations on (keys, z, n, y).
 
-    Every step reads the same collapsed cells; Spark reuses their shuffle.  The
-    starting point is intercept 0 and slope 1.
+    A step is one aggregation over the collapsed cells of all keys; only the few
+    sums per key reach the driver, which holds the parameters between steps.
+    The cells are cached for the duration and the plan does not grow.
     """
     keys = list(keys)
-    params = cells.groupBy(*keys).agg(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
-    for _ in range(steps):
-        eta = F.col("a") + F.col("b") * F.col("z")
-        mu = expit(eta)
-        g = F.col("y") - F.col("n") * mu
-        w = F.col("n") * mu * (F.lit(1.0) - mu)
-        sums = cells.join(params, keys).groupBy(*keys, "a", "b").agg(
-            F.sum(g).alias("g0"), F.sum(g * F.col("z")).alias("g1"), F.sum(w).alias("h00"),
-            F.sum(w * F.col("z")).alias("h01"), F.sum(w * F.col("z") * F.col("z")).alias("h11"),
-        )
-        if fit_slope:
-            det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-            da = F.when(det > 0, (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / det).otherwise(0.0)
-            db = F.when(det > 0, (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det).otherwise(0.0)
-        else:
-            da = F.when(F.col("h00") > 0, F.col("g0") / F.col("h00")).otherwise(0.0)
-            db = F.lit(0.0)
-        params = sums.select(*keys, (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"))
-    return params
+    spark = cells.sparkSession
+    schema = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys) + ", a DOUBLE, b DOUBLE"
+    mu = expit(F.col("a") + F.col("b") * F.col("z"))
+    g = F.col("y") - F.col("n") * mu
+    w = F.col("n") * mu * (F.lit(1.0) - mu)
+    cells = cells.persist()
+    try:
+        start = cells.select(*keys).distinct().limit(LITERAL_ROWS + 1).collect()
+        params = {tuple(r): (0.0, 0.0 if fit_slope else 1.0) for r in start}
+        for _ in range(steps):
+            table = literal_table(spark, [(*k, *ab) for k, ab in params.items()], schema)
+            sums = cells.join(table, keys).groupBy(*keys).agg(
+                F.sum(g).alias("g0"), F.sum(g * F.col("z")).alias("g1"), F.sum(w).alias("h00"),
+                F.sum(w * F.col("z")).alias("h01"), F.sum(w * F.col("z") * F.col("z")).alias("h11"),
+            )
+            moved = 0.0
+            for r in sums.collect():
+                key = tuple(r[k] for k in keys)
+                da, db = _step(r, fit_slope)
+                a, b = params[key]
+                params[key] = (a + da, b + db)
+                moved = max(moved, abs(da), abs(db))
+            if moved < tolerance:
+                break
+    finally:
+        cells.unpersist()
+    return literal_table(spark, [(*k, *ab) for k, ab in params.items()], schema)
+
+
+def _step(r, fit_slope: bool) -> tuple[float, float]:
+    if not fit_slope:
+        return (r.g0 / r.h00 if r.h00 > 0 else 0.0), 0.0
+    det = r.h00 * r.h11 - r.h01 * r.h01
+    if det <= 0:
+        return 0.0, 0.0
+    return (r.h11 * r.g0 - r.h01 * r.g1) / det, (r.h00 * r.g1 - r.h01 * r.g0) / det
 
 
 def logit_cells(predictions: DataFrame, keys: Sequence[str], score: str = "p_raw", label: str = "y_true") -> DataFrame:
@@ -162,40 +181,44 @@ def calibration_knots(
     keys = list(keys)
     cells = collapse(predictions, keys, score, label)
     ranked = running_totals(cells, keys, "p", ["n"])
-    shares = [i / (n_knots - 1) for i in range(n_knots)]
-    half = frac / 2.0
+    places = []
+    for i in range(n_knots):
+        middle = i / (n_knots - 1)
+        low = min(max(middle - frac / 2.0, 0.0), 1.0 - frac)
+        places += [(f"k{i}", middle), (f"l{i}", low), (f"h{i}", low + frac)]
+    wanted = F.array(
+        *[F.struct(F.lit(n).alias("n"), F.floor((F.col("n_total") - 1) * F.lit(s)).alias("r")) for n, s in places]
+    )
+    inside = F.filter(wanted, lambda t: (t["r"] >= F.col("n_before")) & (t["r"] < F.col("n_before") + F.col("n")))
+    # Three numbers per knot and key.
+    found = ranked.select(*keys, "p", F.explode(inside).alias("t")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("t.n", "p"))).alias("_m")
+    )
 
-    def bounds(s: float) -> tuple[float, float]:
-        lo = min(max(s - half, 0.0), 1.0 - frac)
-        return lo, lo + frac
+    def at(name: str) -> Column:
+        return F.col("_m")[name]
 
-    points = [quantile("p", s).alias(f"k{i}") for i, s in enumerate(shares)]
-    lows = [quantile("p", bounds(s)[0]).alias(f"l{i}") for i, s in enumerate(shares)]
-    highs = [quantile("p", bounds(s)[1]).alias(f"h{i}") for i, s in enumerate(shares)]
-    knots = ranked.groupBy(*keys).agg(*points, *lows, *highs)
     array = F.array(
         *[
             F.struct(
-                F.lit(i).alias("knot"), F.col(f"k{i}").alias("x0"),
-                F.greatest(F.col(f"k{i}") - F.col(f"l{i}"), F.col(f"h{i}") - F.col(f"k{i}"), F.lit(1e-9)).alias("h"),
+                F.lit(i).alias("knot"), at(f"k{i}").alias("x0"),
+                F.greatest(at(f"k{i}") - at(f"l{i}"), at(f"h{i}") - at(f"k{i}"), F.lit(1e-9)).alias("h"),
             )
             for i in range(n_knots)
         ]
     )
-    near = cells.join(knots.select(*keys, array.alias("_k")), keys).select(*keys, "p", "n", "y", F.explode("_k").alias("k"))
+    near = cells.join(found.select(*keys, array.alias("_k")), keys).select(*keys, "p", "n", "y", F.explode("_k").alias("k"))
     d = F.abs(F.col("p") - F.col("k.x0")) / F.col("k.h")
     w = F.col("n") * F.pow(F.lit(1.0) - F.pow(d, F.lit(3)), F.lit(3))
     x = F.col("p") - F.col("k.x0")
     rate = F.col("y") / F.col("n")
-    inside = near.where(d < 1)
-    sums = inside.groupBy(*keys, F.col("k.knot").alias("knot"), F.col("k.x0").alias("p")).agg(
+    sums = near.where(d < 1).groupBy(*keys, F.col("k.knot").alias("knot"), F.col("k.x0").alias("p")).agg(
         F.sum(w).alias("s0"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"),
         F.sum(w * rate).alias("t0"), F.sum(w * x * rate).alias("t1"),
     )
     det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    fit = F.when(det > 1e-12 * F.col("s0") * F.col("s0"), (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det).otherwise(
-        F.col("t0") / F.col("s0")
-    )
+    line = (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det
+    fit = F.when(det > 1e-12 * F.col("s0") * F.col("s0"), line).otherwise(F.col("t0") / F.col("s0"))
     return sums.select(*keys, "knot", "p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), fit)).alias("g"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from ..functions.skew import literal_table
 from ..operators import assemble as A
 from ..operators import multiwindow as M
 from ..operators import validate as V
@@ -13,6 +14,7 @@ from ..operators.indicators import IndicatorSpec, build_signals, indicator_hits
 from ..operators.labs import lab_matrix
 from ..operators.windows import cohort_windows
 from ..operators import blocks as B
+from ..sources.results import families_table
 from .q_features import LAB_SQL, below, flag, lab_summary
 from .registry import query
 from .roles import REGION, STREAM_LABELS, STREAM_WINDOWS
@@ -151,12 +153,16 @@ def late_divergence(r):
 _FULL_COLUMNS = ["f_lab_purchase_measured", "f_lab_purchase_peak", "f_lab_purchase_abnormal_count"]
 
 
+def grouped_specs():
+    return [replace(s, group=g) for s, g in zip(_SPECS, ("viral", "immuno", "endo"))]
+
+
 def full_matrix(r, window="w0_10"):
     """Baseline, signals, laboratory columns and a composite of one window, filled by family rules."""
     cohort = r.stream_cohort
     baseline = cohort.select("person_id", F.dayofmonth("index_date").alias("f_age"))
     one = [w for w, label in zip(STREAM_WINDOWS, STREAM_LABELS) if label == window]
-    specs = [s.__class__(**{**s.__dict__, "group": g}) for s, g in zip(_SPECS, ("viral", "immuno", "endo"))]
+    specs = grouped_specs()
     found = indicator_hits(r.stream, cohort, one, specs, r.stream_vocabulary)
     signals = build_signals(found, cohort, one, specs).drop("window")
     summary = lab_summary(r).where(F.col("window") == window)
@@ -262,22 +268,25 @@ def verify_partition(r):
 
 
 @query("blocklist_audit", f"""
-    WITH f AS (SELECT DISTINCT 'f_ind_' || lower(i) AS feature FROM ({_HITS}))
-    SELECT subtype, config, feature FROM f CROSS JOIN (VALUES ('s1', '__full_table__'), ('s1', 'all')) v(subtype, config) WHERE feature LIKE '%err' OR feature LIKE '%buy'
-    UNION ALL SELECT 's2', '__full_table__', feature FROM f WHERE feature LIKE '%clk' UNION ALL SELECT 's2', 'all', feature FROM f WHERE feature LIKE '%clk'
-    UNION ALL SELECT 's1', 'base', feature FROM f WHERE feature LIKE '%err'""")
+    WITH p AS (SELECT 'f_ind_' || lower(i) AS feature, round(count(*) / (SELECT count(*) FROM s_win), 6) AS prevalence FROM ({_HITS}) GROUP BY 1)
+    SELECT subtype, config, feature, prevalence FROM p CROSS JOIN (VALUES ('s1', '__full_table__'), ('s1', 'all')) v(subtype, config) WHERE feature LIKE '%err' OR feature LIKE '%buy'
+    UNION ALL SELECT 's2', '__full_table__', * FROM p WHERE feature LIKE '%clk' UNION ALL SELECT 's2', 'all', * FROM p WHERE feature LIKE '%clk'
+    UNION ALL SELECT 's1', 'base', * FROM p WHERE feature LIKE '%err'""")
 def blocklist_audit(r):
     signals = build_signals(hits(r), r.stream_cohort, STREAM_WINDOWS, _SPECS)
     columns = [c for c in signals.columns if c.startswith("f_")]
     rules = {"s1": ["f_ind_err", "re:^f_ind_b.y$"], "s2": ["re:clk$"]}
-    return A.blocklist_audit(r.spark, rules, columns, {"base": ["f_ind_err"], "all": columns})
-
-
-@query("families_table", "SELECT 'region_' || n_regionkey AS family, n_name AS feature FROM nation")
-def families_table(r):
-    """Family membership as a table, built from the columns found in the data."""
-    rows = r.table("nation").select(F.concat(F.lit("region_"), F.col("n_regionkey")).alias("family"), F.col("n_name").alias("feature"))
-    families: dict[str, list[str]] = {}
-    for row in rows.orderBy("family", "feature").collect():
-        families.setdefault(row.family, []).append(row.feature)
-    return literal_table(r.spark, [(f, c) for f, cs in families.items() for c in cs], "family STRING, feature STRING")
+    audit = A.blocklist_audit(r.spark, rules, columns, {"base": ["f_ind_err"], "all": columns})
+    return V.prevalence(signals).join(audit, "feature")
+
+
+@query("families_table", f"""
+    SELECT CASE i WHEN 'ERR' THEN 'mechsig_viral' WHEN 'CLK' THEN 'mechsig_immuno' ELSE 'mechsig_endo' END AS family,
+           CASE i WHEN 'ERR' THEN 'f_ind_viral_err' WHEN 'CLK' THEN 'f_ind_immuno_clk' ELSE 'f_ind_endo_buy' END AS feature, 0 AS ordinal,
+           round(count(*) / (SELECT count(*) FROM s_win), 6) AS prevalence FROM ({_HITS}) GROUP BY i""")
+def families_table_q(r):
+    """Families of the indicator columns next to how often each column is set."""
+    specs = grouped_specs()
+    signals = build_signals(hits(r), r.stream_cohort, STREAM_WINDOWS, specs)
+    families = A.mechanism_families(c for c in signals.columns if c.startswith("f_"))
+    return V.prevalence(signals).join(families_table(r.spark, families), "feature")
