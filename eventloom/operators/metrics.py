@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_quantiles, quantile, running_totals
 from ..functions.sampling import flag_first_k
-from ..functions.skew import LITERAL_ROWS, literal_table
+from ..functions.skew import LITERAL_ROWS, literal_table, lookup_join
 from ..functions.stats import clip, expit, logit, mean_ci
 
 
@@ -85,6 +85,9 @@ def net_benefit(
 
 NEWTON_STEPS = 25
 
+KEY_ROWS = 20_000
+"""Most repeats whose curves (a short array each) are broadcast."""
+
 
 def _newton(cells: DataFrame, keys: Sequence[str], fit_slope: bool, steps: int, tolerance: float = 1e-12) -> DataFrame:
     """Grouped Newton iterations on (keys, z, n, y).
@@ -207,14 +210,22 @@ def calibration_knots(
             for i in range(n_knots)
         ]
     )
-    near = cells.join(found.select(*keys, array.alias("_k")), keys).select(*keys, "p", "n", "y", F.explode("_k").alias("k"))
-    d = F.abs(F.col("p") - F.col("k.x0")) / F.col("k.h")
-    w = F.col("n") * F.pow(F.lit(1.0) - F.pow(d, F.lit(3)), F.lit(3))
-    x = F.col("p") - F.col("k.x0")
-    rate = F.col("y") / F.col("n")
-    sums = near.where(d < 1).groupBy(*keys, F.col("k.knot").alias("knot"), F.col("k.x0").alias("p")).agg(
-        F.sum(w).alias("s0"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"),
-        F.sum(w * rate).alias("t0"), F.sum(w * x * rate).alias("t1"),
+    knots = lookup_join(cells, found.select(*keys, array.alias("_k")), keys, ["p"], rows=KEY_ROWS)
+    near = knots.select(*keys, "p", "n", "y", F.explode("_k").alias("k"))
+    x, d = F.col("_x"), F.col("_d")
+    placed = near.select(
+        *keys, "n", "y", F.col("k.knot").alias("knot"), F.col("k.x0").alias("x0"), (F.col("p") - F.col("k.x0")).alias("_x"),
+        F.least(F.lit(1.0), F.abs(F.col("p") - F.col("k.x0")) / F.col("k.h")).alias("_d"),
+    )
+    shaped = placed.where(d < 1).withColumn("_u", F.lit(1.0) - d * d * d)
+    u = F.col("_u")
+    # n * tricube weight, and the same weight for the positives only
+    weighted = shaped.withColumn("_w", u * u * u).select(
+        *keys, "knot", "x0", "_x", (F.col("n") * F.col("_w")).alias("_wn"), (F.col("y") * F.col("_w")).alias("_wy")
+    )
+    sums = weighted.groupBy(*keys, "knot", F.col("x0").alias("p")).agg(
+        F.sum("_wn").alias("s0"), F.sum(F.col("_wn") * x).alias("s1"), F.sum(F.col("_wn") * x * x).alias("s2"),
+        F.sum("_wy").alias("t0"), F.sum(F.col("_wy") * x).alias("t1"),
     )
     det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
     line = (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det
@@ -249,7 +260,7 @@ def calibration_errors(
     predictions: DataFrame, knots: DataFrame, keys: Sequence[str], score: str = "p_raw", label: str = "y_true",
 ) -> DataFrame:
     """ICI, E50 and E90: mean, median and 90 % quantile of abs(g(p) - p) over the rows."""
-    cells = collapse(predictions, keys, score, label).join(_knot_arrays(knots, keys), list(keys))
+    cells = lookup_join(collapse(predictions, keys, score, label), _knot_arrays(knots, keys), keys, ["p"], rows=KEY_ROWS)
     gap = F.abs(_interpolate(F.col("p"), F.col("_knots")) - F.col("p"))
     distinct = cells.select(*keys, gap.alias("d"), "n").groupBy(*keys, "d").agg(F.sum("n").alias("n"))
     ranked = running_totals(distinct, list(keys), "d", ["n"])
@@ -311,7 +322,7 @@ def apply_isotonic(eval_rows: DataFrame, models: dict, key: str, score: str = "p
         rows += [(int(k), float(x), float(y)) for x, y in zip(xs, ys)]
     table = spark.createDataFrame(rows, f"{key} INT, p DOUBLE, g DOUBLE")
     arrays = _knot_arrays(table, [key])
-    joined = eval_rows.join(arrays, key)
+    joined = lookup_join(eval_rows, arrays, [key], [score], rows=KEY_ROWS)
     return joined.withColumn("p_corrected", _interpolate(F.col(score), F.col("_knots"))).drop("_knots")
 
 
