@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import flag_first_k, with_hash
 from ..functions.skew import literal_table
+from ..session import materialise
 from .metrics import ranking_metrics
 from .repeats import (
     balance,
@@ -201,11 +202,11 @@ def run_repeat(
     seed = seeds_of(iteration + 1)[-1]
     data = _double(matrix.select(id_col, label, *[F.col(f"`{f}`") for f in features]), features)
     split = stratified_split(data, [seed], s.test_share, id_col, label).select(id_col, "seed", "is_test")
-    placed = data.join(split, id_col)
+    placed = data.join(split, id_col).persist()
     train_ids = balance(placed.where("is_test = 0").select("seed", id_col, label), id_col, label).select(id_col)
-    train = placed.where("is_test = 0").join(train_ids, id_col, "left_semi")
+    train = placed.where("is_test = 0").join(train_ids, id_col, "left_semi").persist()
     test = placed.where("is_test = 1")
-    train = train.persist()
+    train_vec = None
     try:
         kept = kept_features(prevalence_filter(column_profile(train, features), s.min_prevalence, s.forced), features)
         medians = train_medians(train, kept)
@@ -218,17 +219,22 @@ def run_repeat(
         else:
             chosen = [f for f in kept if f in set(selected)]
         folded = folds(train_full.select(id_col, "seed", label, *chosen), s.n_folds, id_col, label)
-        train_vec = assemble_vector(folded, chosen)
+        train_vec = assemble_vector(folded, chosen).select(label, "fold", "features")
         test_vec = assemble_vector(median_impute(test, medians, kept), chosen)
         if kind == "LR":
             scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(train_vec)
             train_vec, test_vec = (
                 scaler.transform(v).drop("features").withColumnRenamed("scaled", "features") for v in (train_vec, test_vec)
             )
+        train_vec = train_vec.persist()
         model, params = fit_tuned(make_estimator(kind, seed, label), s.grid, train_vec, s.n_folds, s.parallelism, label)
+        scored = score_rows(model, test_vec).select(id_col, "seed", F.col(label).alias("y_true"), "p_raw", "features")
+        # The predictions outlive the cached splits.
+        scored = materialise(scored.withColumn("features", vector_to_array("features")), "predictions")
     finally:
-        train.unpersist()
-    scored = score_rows(model, test_vec).select(id_col, "seed", F.col(label).alias("y_true"), "p_raw", "features")
+        for cached in (placed, train, train_vec):
+            if cached is not None:
+                cached.unpersist()
     metric = ranking_metrics(scored, ["seed"]).first()
     return RepeatResult(
         iteration, seed, kind, metric.auroc, metric.auprc, len(features), len(kept), len(chosen), params, chosen,
@@ -289,7 +295,7 @@ def permutation_importance(
     sample = flag_first_k(hashed, ["seed"], targets, "_take", id_col=id_col).where("_take = 1")
     # The sample holds at most max_rows rows per seed, so one ordered window is bounded.
     order = W.partitionBy("seed").orderBy("_hash", id_col)
-    rows = sample.select("seed", "y_true", vector_to_array("features").alias("x"), F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(W.partitionBy("seed")).alias("m"))
+    rows = sample.select("seed", "y_true", F.col("features").alias("x"), F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(W.partitionBy("seed")).alias("m"))
     donors = rows.select("seed", (F.pmod(F.col("r") + F.lit(7), F.col("m")) + 1).alias("r"), F.col("x").alias("z"))
     both = rows.join(donors, ["seed", "r"])
     n = len(result.features)
