@@ -20,6 +20,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("EVENTLOOM_DRIVER_MEMORY", memory))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
