@@ -1,7 +1,7 @@
 """Time the registered queries: prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES
-(comma-separated names) and BENCH_BUDGET (seconds, default 1500) can be set.  The
+(comma-separated names) and BENCH_BUDGET (seconds, default 480) can be set.  The
 headline queries are each run twice and the second run counts; the other
 registered queries run once afterwards while the budget lasts.
 """
@@ -36,7 +36,7 @@ def timed(fn, spark, sf_dir) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    budget = float(os.environ.get("BENCH_BUDGET", "1500"))
+    budget = float(os.environ.get("BENCH_BUDGET", "480"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     began = time.perf_counter()
     spark = local_session(cpus)

@@ -547,14 +547,17 @@ def engagement_controls(
     counted = lookup_join(near, general, ["provider_id"], ["event_id"], "left").groupBy("person_id").agg(
         F.count_distinct("event_id").alias("n"), F.max("_pcp").alias("pcp")
     )
-    classes = plans.groupBy("person_id", "plan_start", "plan_end").agg(
-        *[F.max(F.coalesce(ilike_any("payer", [f"%{w}%" for w in words]), F.lit(False)).cast("int")).alias(n) for n, words in payers.items()]
-    )
-    valid = classes.join(people, "person_id").where(
-        (F.col("plan_start") <= F.col("index_date")) & ((F.col("plan_end") >= F.col("index_date")) | F.col("plan_end").isNull())
-    )
-    paid = valid.groupBy("person_id").agg(*[F.max(n).alias(n) for n in payers])
-    df = cohort.select("person_id").join(counted, "person_id", "left").join(paid, "person_id", "left")
+    df = cohort.select("person_id").join(counted, "person_id", "left")
+    if payers:
+        words_of = {n: [f"%{w}%" for w in words] for n, words in payers.items()}
+        classes = plans.groupBy("person_id", "plan_start", "plan_end").agg(
+            *[F.max(F.coalesce(ilike_any("payer", ws), F.lit(False)).cast("int")).alias(n) for n, ws in words_of.items()]
+        )
+        valid = classes.join(people, "person_id").where(
+            (F.col("plan_start") <= F.col("index_date"))
+            & ((F.col("plan_end") >= F.col("index_date")) | F.col("plan_end").isNull())
+        )
+        df = df.join(valid.groupBy("person_id").agg(*[F.max(n).alias(n) for n in payers]), "person_id", "left")
     return df.select(
         "person_id",
         F.coalesce("n", F.lit(0)).alias("f_eng_n_encounters_pre_index_1y"),

@@ -14,10 +14,11 @@ from ..operators.indicators import IndicatorSpec, build_signals, indicator_hits
 from ..operators.labs import lab_matrix
 from ..operators.windows import cohort_windows
 from ..operators import blocks as B
+from ..plans.features import assemble_baseline
 from ..sources.results import families_table
 from .q_features import LAB_SQL, below, flag, lab_summary
 from .registry import query
-from .roles import REGION, STREAM_LABELS, STREAM_WINDOWS
+from .roles import NATION, REGION, STREAM_LABELS, STREAM_WINDOWS
 
 
 def _ids(*v):
@@ -290,3 +291,22 @@ def families_table_q(r):
     signals = build_signals(hits(r), r.stream_cohort, STREAM_WINDOWS, specs)
     families = A.mechanism_families(c for c in signals.columns if c.startswith("f_"))
     return V.prevalence(signals).join(families_table(r.spark, families), "feature")
+
+
+@query("assemble_baseline", f"""
+    WITH h AS (SELECT c.person_id, {flag(below(3000001), 'f_c_n1')}, {flag(below(4000000), 'f_c_r0')}
+               FROM cohort c LEFT JOIN conditions e ON e.person_id = c.person_id AND e.event_date <= c.index_date GROUP BY 1),
+    v AS (SELECT c.person_id, count(DISTINCT v.event_id) AS n FROM cohort c JOIN visits v ON v.person_id = c.person_id AND v.event_date BETWEEN c.index_date - 365 AND c.index_date - 1 GROUP BY 1)
+    SELECT c.person_id, CAST(f_c_n1 AS DOUBLE) AS f_c_n1, CAST(f_c_r0 AS DOUBLE) AS f_c_r0, CAST(age_at_index AS DOUBLE) AS f_age,
+           CASE WHEN gender_concept_id = 8532 THEN 1.0 ELSE 0.0 END AS f_sex_female, CASE WHEN gender_concept_id = 8507 THEN 1.0 ELSE 0.0 END AS f_sex_male,
+           CASE WHEN gender_concept_id IN (8532, 8507) THEN 0.0 ELSE 1.0 END AS f_sex_unknown, CAST(coalesce(n, 0) AS DOUBLE) AS f_eng_n_encounters_pre_index_1y
+    FROM cohort c JOIN h USING (person_id) LEFT JOIN v USING (person_id)""")
+def assemble_baseline_q(r):
+    """Families joined by one union and one pivot."""
+    engagement = B.engagement_controls(r.cohort, r.visits, r.providers, r.plans, (), {}).select("person_id", "f_eng_n_encounters_pre_index_1y")
+    groups = {
+        "core_comorbidities": [B.ancestor_flags(r.conditions, r.cohort, r.vocabulary, {"f_c_n1": (NATION + 1,), "f_c_r0": (REGION,)})],
+        "core_demographics": [B.one_hot_demographics(r.cohort)],
+        "engagement_controls": [engagement],
+    }
+    return assemble_baseline(r.cohort, groups)[0]

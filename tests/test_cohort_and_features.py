@@ -245,3 +245,25 @@ def test_sets_are_resolved_together(vocabulary):
     assert rows == {("a", 7), ("b", 10), ("b", 11)}
 
 
+
+
+def test_whole_baseline_plan(spark, make_events, vocabulary):
+    from eventloom.plans.features import FeatureInputs, baseline_matrix
+
+    rows = C.acute_window(people(spark, (1, day(0), 0, 0, None, None), (2, day(0), 0, 1, day(3), None)))
+    rows = rows.withColumn("age_at_index", F.lit(50)).withColumn("gender_concept_id", F.lit(8532).cast("long"))
+    drugs = make_events([dict(concept_id=21, day=1, person_id=p, source_text="x") for p in (1, 2)], "drug")
+    visits = make_events([dict(concept_id=9201, day=0, end_date=day(3), person_id=2), dict(concept_id=9, day=-10)], "visit")
+    none = make_events([dict(concept_id=0, day=-999, person_id=99)])
+    inputs = FeatureInputs(
+        none, none, none, none, drugs, visits, spark.createDataFrame([(1, 1, "x")], "provider_id BIGINT, specialty_concept_id BIGINT, specialty_source_value STRING"),
+        spark.createDataFrame([(1, "icu")], "site_id BIGINT, site_name STRING"),
+        spark.createDataFrame([(1, "Medicaid HMO", day(-5), None)], "person_id BIGINT, payer STRING, plan_start DATE, plan_end DATE"), vocabulary,
+    )
+    matrix, families = baseline_matrix(inputs, rows)
+    got = {r.person_id: r.asDict() for r in matrix.collect()}
+    assert set(families) == {"core_comorbidities", "core_symptoms", "core_drugs", "core_demographics", "core_treatment", "ext_features", "engagement_controls"}
+    assert got[1]["f_drug_steroid"] == 1 and got[2]["f_ext_hosp_acute"] == 1 and got[2]["f_tx_los"] == 3
+    assert got[1]["f_eng_insurance_medicaid"] == 1 and got[1]["f_eng_insurance_commercial"] == 1
+    assert got[1]["f_eng_n_encounters_pre_index_1y"] == 1 and got[1]["f_ext_bmi_last"] is None
+    assert len(matrix.columns) == 1 + sum(map(len, families.values()))
