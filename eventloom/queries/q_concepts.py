@@ -62,7 +62,7 @@ def ingredient_descendants(r):
 
 @query("lab_concepts", """
     SELECT concept_id, max(lab) AS lab, max_by(high, lab) AS high FROM (
-        SELECT concept_id, 'a' AS lab, 10.0 AS high FROM concept WHERE vocabulary_id = 'PART' AND concept_code = 'Brand#1'
+        SELECT concept_id, 'a' AS lab, CAST(10.0 AS DOUBLE) AS high FROM concept WHERE vocabulary_id = 'PART' AND concept_code = 'Brand#1'
         UNION SELECT concept_id, 'b', 20.0 FROM concept WHERE vocabulary_id = 'PART' AND concept_code IN ('Brand#1', 'Brand#2')) GROUP BY 1""")
 def lab_concepts(r):
     specs = [LabSpec("a", (part_codes("Brand#1"),), 10.0), LabSpec("b", (part_codes("Brand#1", "Brand#2"),), 20.0)]

@@ -145,7 +145,7 @@ THRESHOLDS = (0.05, 0.1, 0.3, 0.5)
 
 @query("net_benefit", f"""
     SELECT seed, CAST(threshold AS DOUBLE) AS threshold, tp, fp, n, round(tp / n - fp / n * threshold / (1 - threshold), 6) AS net_benefit,
-           round(prev - (1 - prev) * threshold / (1 - threshold), 6) AS treat_all, 0.0 AS treat_none FROM ({_NB})""")
+           round(prev - (1 - prev) * threshold / (1 - threshold), 6) AS treat_all, CAST(0 AS DOUBLE) AS treat_none FROM ({_NB})""")
 def net_benefit(r):
     return M.net_benefit(r.predictions, ["seed"], THRESHOLDS)
 

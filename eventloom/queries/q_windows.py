@@ -184,7 +184,7 @@ def full_matrix(r, window="w0_10"):
         FROM s_cohort c LEFT JOIN h ON h.person_id = c.person_id AND h.win = 'w0_10' LEFT JOIN l ON l.person_id = c.person_id AND l.win = 'w0_10' GROUP BY 1, index_date)
     SELECT person_id, f_age, f_ind_viral_err, f_ind_immuno_clk, f_ind_endo_buy, f_lab_purchase_measured, f_lab_purchase_abnormal_count, f_comp_cardiac_injury, f_comp_renal_injury,
            round(coalesce(p, (SELECT median(p) FROM b)), 6) AS f_lab_purchase_peak, CASE WHEN p IS NULL THEN 1 ELSE 0 END AS f_lab_purchase_peak_miss,
-           0.0 AS f_cbc_nlr_peak, 1 AS f_cbc_nlr_peak_miss, round(coalesce(s, (SELECT median(s) FROM b)), 6) AS f_comp_cardiac_injury_score, CASE WHEN s IS NULL THEN 1 ELSE 0 END AS f_comp_cardiac_injury_score_miss,
+           CAST(0 AS DOUBLE) AS f_cbc_nlr_peak, 1 AS f_cbc_nlr_peak_miss, round(coalesce(s, (SELECT median(s) FROM b)), 6) AS f_comp_cardiac_injury_score, CASE WHEN s IS NULL THEN 1 ELSE 0 END AS f_comp_cardiac_injury_score_miss,
            round(coalesce(t, (SELECT median(t) FROM b)), 6) AS f_comp_renal_injury_ratio, CASE WHEN t IS NULL THEN 1 ELSE 0 END AS f_comp_renal_injury_ratio_miss FROM b""")
 def assemble_full(r):
     return full_matrix(r)[0]
@@ -298,8 +298,8 @@ def families_table_q(r):
                FROM cohort c LEFT JOIN conditions e ON e.person_id = c.person_id AND e.event_date <= c.index_date GROUP BY 1),
     v AS (SELECT c.person_id, count(DISTINCT v.event_id) AS n FROM cohort c JOIN visits v ON v.person_id = c.person_id AND v.event_date BETWEEN c.index_date - 365 AND c.index_date - 1 GROUP BY 1)
     SELECT c.person_id, CAST(f_c_n1 AS DOUBLE) AS f_c_n1, CAST(f_c_r0 AS DOUBLE) AS f_c_r0, CAST(age_at_index AS DOUBLE) AS f_age,
-           CASE WHEN gender_concept_id = 8532 THEN 1.0 ELSE 0.0 END AS f_sex_female, CASE WHEN gender_concept_id = 8507 THEN 1.0 ELSE 0.0 END AS f_sex_male,
-           CASE WHEN gender_concept_id IN (8532, 8507) THEN 0.0 ELSE 1.0 END AS f_sex_unknown, CAST(coalesce(n, 0) AS DOUBLE) AS f_eng_n_encounters_pre_index_1y
+           CAST(CASE WHEN gender_concept_id = 8532 THEN 1 ELSE 0 END AS DOUBLE) AS f_sex_female, CAST(CASE WHEN gender_concept_id = 8507 THEN 1 ELSE 0 END AS DOUBLE) AS f_sex_male,
+           CAST(CASE WHEN gender_concept_id IN (8532, 8507) THEN 0 ELSE 1 END AS DOUBLE) AS f_sex_unknown, CAST(coalesce(n, 0) AS DOUBLE) AS f_eng_n_encounters_pre_index_1y
     FROM cohort c JOIN h USING (person_id) LEFT JOIN v USING (person_id)""")
 def assemble_baseline_q(r):
     """Families joined by one union and one pivot."""

@@ -12,7 +12,7 @@ _ROLES = {
                CAST(ts AS DATE) AS event_date, value,
                CASE WHEN k % 10 = 0 THEN NULL WHEN k % 3 = 0 THEN 902 ELSE 901 END AS value_concept_id,
                CASE WHEN k % 20 = 0 THEN 'Not detected' WHEN k % 10 = 0 THEN 'Detected' END AS value_text,
-               CASE WHEN k % 2 = 0 THEN 50.0 END AS range_high,
+               CASE WHEN k % 2 = 0 THEN CAST(50.0 AS DOUBLE) END AS range_high,
                event_type || ':' || k AS source_text,
                CASE WHEN k % 7 = 0 THEN NULL ELSE k % 3 END AS source_concept_id, k
         FROM (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events)""",
