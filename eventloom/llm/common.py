@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -25,6 +28,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver has it from; done once for a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_eventloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "eventloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._eventloom_shipped = True
+
+
 def map_texts(
     df: DataFrame, keys: Iterable[str], text: str, made: str, start: Callable[[], Callable[[str | None], tuple]]
 ) -> DataFrame:
@@ -33,6 +53,7 @@ def map_texts(
     ``start`` runs once in each task and gives the function from a text to the made values.  Only the named
     columns reach Python, in Arrow batches that Spark bounds by bytes.
     """
+    ship(df.sparkSession)
     keys = list(keys)
     picked = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*picked.schema.fields[: len(keys)], *T.StructType.fromDDL(made).fields])
