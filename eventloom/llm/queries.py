@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import anchored_pii as pii
 from eventloom.llm import compression_bands as bands
+from eventloom.llm import forced_bpe as bpe
 from eventloom.llm import markov_secrets as secrets
 
 
@@ -22,6 +23,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op2_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), bpe.tokenizer_path("word_bpe_49k.json"))
+
+
 def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = secrets.find_secrets(documents, secrets.train(documents))
@@ -35,6 +40,7 @@ def op9_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
+    "op2_forced_bpe": op2_forced_bpe,
     "op3_markov_secrets": op3_markov_secrets,
     "op9_anchored_pii": op9_anchored_pii,
 }
