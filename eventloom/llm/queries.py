@@ -9,6 +9,7 @@ from eventloom.llm import anchored_pii as pii
 from eventloom.llm import compression_bands as bands
 from eventloom.llm import forced_bpe as bpe
 from eventloom.llm import markov_secrets as secrets
+from eventloom.llm import minhash_join as minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,11 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", sha256("base_spans").alias("base_sha256"), "spans", "n_random")
 
 
+def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha256("base_spans").alias("base_sha256"), "spans", "n_account", "n_address")
@@ -42,6 +48,7 @@ QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_forced_bpe": op2_forced_bpe,
     "op3_markov_secrets": op3_markov_secrets,
+    "op6_minhash_join": op6_minhash_join,
     "op9_anchored_pii": op9_anchored_pii,
 }
 ORACLES: dict[str, str] = {}
