@@ -10,6 +10,7 @@ from eventloom.llm import compression_bands as bands
 from eventloom.llm import forced_bpe as bpe
 from eventloom.llm import markov_secrets as secrets
 from eventloom.llm import minhash_join as minhash
+from eventloom.llm import weak_toxicity as toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +45,17 @@ def op9_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha256("base_spans").alias("base_sha256"), "spans", "n_account", "n_address")
 
 
+def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_forced_bpe": op2_forced_bpe,
     "op3_markov_secrets": op3_markov_secrets,
     "op6_minhash_join": op6_minhash_join,
     "op9_anchored_pii": op9_anchored_pii,
+    "op10_weak_toxicity": op10_weak_toxicity,
 }
 ORACLES: dict[str, str] = {}
