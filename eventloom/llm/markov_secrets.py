@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import map_texts
+from eventloom.llm.sampling import hashed_ids
 from eventloom.llm.spans import Span, digest, joined
 
 KINDS = ("assign", "access", "hex", "random")
@@ -125,9 +126,10 @@ def method_spans(text: str, model: SecretModel, threshold: float) -> list[Span]:
 
 
 def sample_words(documents: DataFrame, doc_id: str, text: str, rows: int) -> list[str]:
-    """Letter-only words of ``rows`` documents, those with the smallest hashed id; at most 50,000 distinct words, the first in order."""
-    picked = documents.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
-    first = picked.orderBy(F.md5(F.col("i").cast("string")), "t").limit(rows)
+    """Letter-only words of documents with one of about ``rows`` sampled ids; at most 50,000 distinct words, the first in order."""
+    key = F.col(f"`{doc_id}`")
+    ids = hashed_ids(documents.where(key.isNotNull()).select(key.alias("i")).distinct(), rows)
+    first = documents.join(F.broadcast(ids), key == F.col("i"), "left_semi").select(F.col(f"`{text}`").cast("string").alias("t"))
     words = first.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\b[a-zA-Z]{3,24}\b"), F.lit(0)))).alias("w"))
     return [r.w for r in words.distinct().orderBy("w").limit(50_000).collect()]
 
