@@ -28,8 +28,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts in one Arrow batch: a worker holds one batch, its strings and its results at a time.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver has it from; done once for a Spark context."""
+    """Let Python workers import this package, wherever the driver has it from, and bound the batches they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_eventloom_shipped", False):
         return

@@ -75,7 +75,7 @@ class Signer:
     def word(self, word: bytes) -> int:
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             got = self.memo[word] = self.name(word, seed=3)
         return got
