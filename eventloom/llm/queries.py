@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import anchored_pii as pii
 from eventloom.llm import compression_bands as bands
+from eventloom.llm import decontaminate as clean
 from eventloom.llm import forced_bpe as bpe
 from eventloom.llm import markov_secrets as secrets
 from eventloom.llm import minhash_join as minhash
@@ -40,6 +41,12 @@ def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clean.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
 def op9_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha256("base_spans").alias("base_sha256"), "spans", "n_account", "n_address")
@@ -55,6 +62,7 @@ QUERIES = {
     "op2_forced_bpe": op2_forced_bpe,
     "op3_markov_secrets": op3_markov_secrets,
     "op6_minhash_join": op6_minhash_join,
+    "op7_fm_decontaminate": op7_fm_decontaminate,
     "op9_anchored_pii": op9_anchored_pii,
     "op10_weak_toxicity": op10_weak_toxicity,
 }
