@@ -11,6 +11,7 @@ from eventloom.llm import decontaminate as clean
 from eventloom.llm import forced_bpe as bpe
 from eventloom.llm import markov_secrets as secrets
 from eventloom.llm import minhash_join as minhash
+from eventloom.llm import token_records as records
 from eventloom.llm import weak_toxicity as toxicity
 
 
@@ -36,6 +37,11 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", sha256("base_spans").alias("base_sha256"), "spans", "n_random")
 
 
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = records.round_trip(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.tiktoken"))
+    return back.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -61,6 +67,7 @@ QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_forced_bpe": op2_forced_bpe,
     "op3_markov_secrets": op3_markov_secrets,
+    "op4_token_records": op4_token_records,
     "op6_minhash_join": op6_minhash_join,
     "op7_fm_decontaminate": op7_fm_decontaminate,
     "op9_anchored_pii": op9_anchored_pii,
