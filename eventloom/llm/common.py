@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a stored table of short columns (some 100 bytes) up to which it is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def checked_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of short columns, marked for broadcast only if its count is within the bound; else joins shuffle it."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 #: Bytes of texts in one Arrow batch: a worker holds one batch, its strings and its results at a time.
 BATCH_BYTES = 8 << 20
 

@@ -12,6 +12,7 @@ from eventloom.llm import forced_bpe as bpe
 from eventloom.llm import markov_secrets as secrets
 from eventloom.llm import minhash_join as minhash
 from eventloom.llm import token_records as records
+from eventloom.llm import warc_salvage as warc
 from eventloom.llm import weak_toxicity as toxicity
 
 
@@ -42,6 +43,10 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -68,6 +73,7 @@ QUERIES = {
     "op2_forced_bpe": op2_forced_bpe,
     "op3_markov_secrets": op3_markov_secrets,
     "op4_token_records": op4_token_records,
+    "op5_warc_salvage": op5_warc_salvage,
     "op6_minhash_join": op6_minhash_join,
     "op7_fm_decontaminate": op7_fm_decontaminate,
     "op9_anchored_pii": op9_anchored_pii,
