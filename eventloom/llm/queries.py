@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import anchored_pii as pii
+from eventloom.llm import block_rules as blocks
 from eventloom.llm import compression_bands as bands
 from eventloom.llm import decontaminate as clean
 from eventloom.llm import forced_bpe as bpe
@@ -58,6 +59,10 @@ def op7_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op8_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha256("base_spans").alias("base_sha256"), "spans", "n_account", "n_address")
@@ -76,6 +81,7 @@ QUERIES = {
     "op5_warc_salvage": op5_warc_salvage,
     "op6_minhash_join": op6_minhash_join,
     "op7_fm_decontaminate": op7_fm_decontaminate,
+    "op8_block_rules": op8_block_rules,
     "op9_anchored_pii": op9_anchored_pii,
     "op10_weak_toxicity": op10_weak_toxicity,
 }
