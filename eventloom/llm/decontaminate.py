@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import map_texts, ship, stored
+from eventloom.llm.common import checked_broadcast, map_texts, ship, stored
 from eventloom.llm.fm_index import FmIndex
 
 WINDOW = 13
@@ -203,3 +203,26 @@ def find_contamination(
     out = out.withColumn("n_hit", hit)
     return out.select(*[F.col(f"`{k}`") for k in keys], "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The documents that are not contaminated, with all their columns; rows with equal id and text share their fate."""
+    mark = "__seal"
+    keyed = documents.withColumn(mark, F.md5(F.col(f"`{text}`").cast("binary")))
+    found = find_contamination(keyed, benchmark, doc_id, text, also=[mark], **settings)
+    gone = stored(found.where("contaminated").select(F.col(f"`{doc_id}`").alias("__id"), F.col(mark).alias("__mark")).distinct(), "contaminated")
+    same = keyed[doc_id].eqNullSafe(F.col("__id")) & keyed[mark].eqNullSafe(F.col("__mark"))
+    return keyed.join(checked_broadcast(gone), same, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
+def without_spans(text: str | None, spans: Sequence[tuple[int, int]]) -> str | None:
+    """The text with the words of the spans, and what stands between them, cut out."""
+    if not text or not spans:
+        return text
+    import re
+
+    words = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    out, at = [], 0
+    for s, e in spans:
+        out.append(text[at : words[s][0]])
+        at = words[e - 1][1]
+    return "".join(out) + text[at:]

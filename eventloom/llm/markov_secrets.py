@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import map_texts
+from eventloom.llm.common import map_texts, ship
 from eventloom.llm.sampling import hashed_ids
-from eventloom.llm.spans import Span, digest, joined
+from eventloom.llm.spans import Span, joined
 
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
@@ -125,6 +126,12 @@ def method_spans(text: str, model: SecretModel, threshold: float) -> list[Span]:
     return out
 
 
+def all_spans(text: str, model: SecretModel, threshold: float) -> list[Span]:
+    """Base spans, and those of the method that overlap none of them."""
+    base = base_spans(text)
+    return base + [s for s in method_spans(text, model, threshold) if not any(s[0] < e and b < s[1] for b, e, _ in base)]
+
+
 def sample_words(documents: DataFrame, doc_id: str, text: str, rows: int) -> list[str]:
     """Letter-only words of documents with one of about ``rows`` sampled ids; at most 50,000 distinct words, the first in order."""
     key = F.col(f"`{doc_id}`")
@@ -153,10 +160,9 @@ def find_secrets(documents: DataFrame, model: SecretModel, doc_id: str = "doc_id
     def start():
         def one(value: str | None) -> tuple:
             content = value or ""
-            base = base_spans(content)
-            added = [s for s in method_spans(content, model, threshold) if not any(s[0] < e and b < s[1] for b, e, _ in base)]
-            n = [sum(k == kind for *_, k in base) for kind in BASE_KINDS]
-            return *n, len(added), joined(base, KINDS), joined([*base, *added], KINDS)
+            spans = all_spans(content, model, threshold)
+            n = [sum(k == kind for *_, k in spans) for kind in KINDS]
+            return *n, joined([s for s in spans if s[2] in BASE_KINDS], KINDS), joined(spans, KINDS)
 
         return one
 
@@ -176,5 +182,24 @@ def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:
     return "".join(out) + text[at:]
 
 
-def base_digest(spans: str) -> str:
-    return digest(spans)
+
+def redact_documents(documents: DataFrame, model: SecretModel, text: str = "text", length: str = "n_chars", threshold: float = 1.0) -> DataFrame:
+    """The documents with every secret in ``text`` replaced by a mark and, where there is such a column, ``length`` in code points renewed.
+
+    All columns and rows stay; a null text stays null.
+    """
+    ship(documents.sparkSession)
+    at = documents.columns.index(text)
+    counted = documents.columns.index(length) if length in documents.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [redact(t, joined(all_spans(t, model, threshold), KINDS)) if t else t for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if counted is not None:
+                old = columns[counted].to_pylist()
+                columns[counted] = pa.array([o if t is None else len(t) for t, o in zip(texts, old, strict=True)], batch.schema.field(counted).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return documents.mapInArrow(run, documents.schema)

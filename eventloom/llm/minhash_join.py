@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import map_texts, ship, stored
+from eventloom.llm.common import checked_broadcast, map_texts, ship, stored
 
 
 @dataclass(frozen=True)
@@ -274,12 +274,12 @@ def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str
     keyed = documents.withColumn(mark, F.md5(F.col(f"`{text}`").cast("binary")))
     found = near_duplicates(keyed, doc_id, text, spec, [mark])
     decided = stored(
-        found.groupBy(F.col(doc_id).alias("__id"), F.col(mark).alias("__mark")).agg(F.max(F.col("kept")).alias("__kept"), F.count("*").alias("__n"), F.max(F.col("n_shingles")).alias("__size")), "decided"
-    ).where("__kept")
-    again = F.coalesce(F.col("__n") > 1, F.lit(False)) & (F.col("__size") > 0)
-    joined = keyed.join(decided, keyed[doc_id].eqNullSafe(F.col("__id")) & keyed[mark].eqNullSafe(F.col("__mark")))
-    single = joined.where(~again)
-    out = single
-    if decided.where(again).limit(1).count():
-        out = single.unionByName(joined.where(again).dropDuplicates([doc_id, mark]))
+        found.groupBy(F.col(doc_id).alias("__id"), F.col(mark).alias("__mark")).agg(F.max("kept").alias("kept"), (F.count("*") > 1).alias("again"), F.max("n_shingles").alias("size")), "decided"
+    )
+    same = keyed[doc_id].eqNullSafe(F.col("__id")) & keyed[mark].eqNullSafe(F.col("__mark"))
+    out = keyed.join(checked_broadcast(decided.where("not kept").select("__id", "__mark")), same, "left_anti")
+    repeated = decided.where("kept and again and size > 0").select("__id", "__mark")
+    if repeated.limit(1).count():
+        named = checked_broadcast(repeated)
+        out = out.join(named, same, "left_anti").unionByName(out.join(named, same, "left_semi").dropDuplicates([doc_id, mark]))
     return out.select(*[F.col(f"`{c}`") for c in documents.columns])

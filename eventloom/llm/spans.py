@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Sequence
 
 Span = tuple[int, int, str]
@@ -11,7 +10,3 @@ Span = tuple[int, int, str]
 def joined(spans: Iterable[Span], kinds: Sequence[str]) -> str:
     order = {k: i for i, k in enumerate(kinds)}
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], order[x[2]], x[1])))
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
