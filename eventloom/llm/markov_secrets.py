@@ -32,6 +32,18 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
 CODES = np.full(128, STATES - 1, np.int64)
 CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+#: Words that identifiers are often made of, beside those of the corpus.
+COMMON_WORDS = (
+    "access account action address admin agent alias array base batch block body bucket buffer build builder byte cache call check child class client code column command "
+    "config connection content context control count create current cursor data database date default delete device document element encode engine entry error event "
+    "example factory feature field file filter first folder format function global graph group handler hash header height history host image index info input instance "
+    "interface internal item iterator kernel label language last layer layout length level library line link list load local location logger manager map mapper matrix "
+    "member memory message method model module monitor name network node number object offset option order output owner package page parameter parent parse parser path "
+    "pattern pointer policy pool position prefix print process product profile project property protocol provider proxy query queue random range reader record region "
+    "register release remote render report repository request resource response result return root route router sample schedule schema scope search section select server "
+    "service session setting shape signal size sort source stack start state static status storage store stream string structure style system table target task template "
+    "test text thread time timer title tree type update user util value variable vector version view widget width window worker wrapper write writer"
+).split()
 KEY_ALPHABETS = (
     "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
     "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
@@ -57,7 +69,7 @@ def random_samples(count: int, seed: int = 7) -> list[str]:
 def identifier_samples(words: Sequence[str], count: int, seed: int = 7) -> list[str]:
     """Strings labelled ordinary: words and joins of two to four of them in the styles of code and addresses."""
     rng = random.Random(seed)
-    words = [w for w in words if w] or ["value"]
+    words = [*words, *COMMON_WORDS * (1 + len(words) // (4 * len(COMMON_WORDS)))]
     out = []
     for i in range(count):
         some = [rng.choice(words) for _ in range(rng.randint(1, 4))]
@@ -147,7 +159,7 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", samp
     return SecretModel(random_samples(samples), identifier_samples(words, samples))
 
 
-def find_secrets(documents: DataFrame, model: SecretModel, doc_id: str = "doc_id", text: str = "text", threshold: float = 1.0) -> DataFrame:
+def find_secrets(documents: DataFrame, model: SecretModel, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.6) -> DataFrame:
     """Spans of secrets in every whole text.
 
     Columns: ``n_assign``, ``n_access``, ``n_hex``, ``n_random``, ``base_spans`` and ``spans`` (kind:start:end in code
@@ -183,7 +195,7 @@ def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:
 
 
 
-def redact_documents(documents: DataFrame, model: SecretModel, text: str = "text", length: str = "n_chars", threshold: float = 1.0) -> DataFrame:
+def redact_documents(documents: DataFrame, model: SecretModel, text: str = "text", length: str = "n_chars", threshold: float = 0.6) -> DataFrame:
     """The documents with every secret in ``text`` replaced by a mark and, where there is such a column, ``length`` in code points renewed.
 
     All columns and rows stay; a null text stays null.
