@@ -5,9 +5,11 @@ Every text becomes a set of word shingles; texts with equal sets are one class.
 among the first ``coordinates - matches + 1`` of either in the order of rarity, so only that prefix is joined and the
 long lists at its far end are skipped; the collisions of a pair met there are then counted on the whole signatures.
 
-A list is not expanded into all its pairs.  Each member meets the list's first member; classes linked so fall into
-components, and afterwards only members of one list that are still in different components, and that the distances to
-the first member do not rule out, meet each other.  Links are confirmed on the full sets of words.
+A list is not expanded into all its pairs.  Each member meets the list's centre, the member whose coordinates are the
+most common, and links are confirmed on the full sets of words.  Members of one list that are still in different
+components meet each other only if their sets can reach the similarity: two sets near a common centre differ from it
+by nearly the same shingles, any other two share one of the rarest shingles of either (see :func:`near_pairs` and
+:func:`far_pairs`); both are prefix joins without a loss.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ class Spec:
     """Shingle length in words, similarity in percent, signature length and the collisions a candidate needs.
 
     With 48 coordinates a pair at the similarity of 80 percent has 38 collisions on average; fewer than 24 have a
-    probability of 2e-7.
+    probability of 2e-7.  Pairs with a centre are measured from ``measured`` collisions on: a pair at 60 percent has
+    fewer than 14 with a probability of 1e-5.
     """
 
     shingle: int = 2
     percent: int = 80
     coordinates: int = 48
     matches: int = 24
+    measured: int = 14
     seed: int = 11
 
     def __post_init__(self):
@@ -124,48 +128,57 @@ def signed(documents: DataFrame, keys: Sequence[str], text: str, spec: Spec) ->
 
 
 def prefix_postings(classes: DataFrame, spec: Spec) -> DataFrame:
-    """(cls, token) for the rarest coordinates of each class that others share; a coordinate of its own fills a place of the prefix."""
+    """(cls, token, common) for the rarest coordinates of each class that others share; a coordinate of its own fills a
+    place of the prefix.  ``common`` tells how common the class's coordinates are altogether."""
     postings = classes.select("cls", F.explode("tokens").alias("token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
     rare = postings.join(shared, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("list"))
     room = F.size("list") - F.lit(spec.coordinates - spec.prefix)
-    return rare.where(room > 0).select("cls", F.explode(F.slice("list", F.lit(1), room)).alias("p")).select("cls", F.col("p.token").alias("token"))
+    common = F.aggregate("list", F.lit(0).cast("long"), lambda total, p: total + p["freq"])
+    return rare.where(room > 0).select("cls", common.alias("common"), F.explode(F.slice("list", F.lit(1), room)).alias("p")).select("cls", F.col("p.token").alias("token"), "common")
 
 
-def collisions(pairs: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
-    """Pairs (a, b) whose set sizes allow the similarity, with the number of equal coordinates."""
-    side = classes.select("cls", "n_shingles", "tokens")
-    left = side.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("ta"))
-    right = side.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", sizes_allow(F.col("na"), F.col("nb"), spec).alias("allowed"), F.size(F.array_intersect("ta", "tb")).alias("m"))
+def collisions(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the number of equal coordinates."""
+    left = classes.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
+    right = classes.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("m"))
 
 
 def sizes_allow(x: Column, y: Column, spec: Spec) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * spec.percent
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
+def measure(pairs: DataFrame, texts: DataFrame, spec: Spec, difference: bool) -> DataFrame:
+    """(a, b, na, nb, linked, diff) on the full shingle sets.
+
+    ``diff`` is null unless asked for and the distance is at most twice a link's; else it names the shingles that one
+    of the two has alone.
+    """
     ship(pairs.sparkSession)
     both = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    wide = 2 * spec.percent - 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, frozenset()  # pairs come in order of b
+        signer = Signer(spec)
+        last, kept, named = None, frozenset(), np.empty(0, np.uint64)  # pairs come in order of b
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            hit = []
+            out = []
             for i in range(len(a)):
                 if b[i] != last:
-                    last, kept = b[i], shingle_set(tb[i], spec.shingle)
+                    last, kept, named = b[i], shingle_set(tb[i], spec.shingle), signer.names(tb[i])
                 mine = shingle_set(ta[i], spec.shingle)
                 common = len(mine & kept)
-                hit.append(100 * common >= spec.percent * (len(mine) + len(kept) - common))
-            keep = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                union = len(mine) + len(kept) - common
+                diff = np.setxor1d(signer.names(ta[i]), named, assume_unique=True).view(np.int64) if difference and 100 * common >= wide * union else None
+                out.append((len(mine), len(kept), 100 * common >= spec.percent * union, diff))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["a", "b", "na", "nb", "linked", "diff"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary, na long, nb long, linked boolean, diff array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -188,24 +201,82 @@ def labelled(frame: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return frame.join(side, column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
 
 
-def unjoined(posts: DataFrame, firsts: DataFrame, met: DataFrame, labels: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
-    """Pairs of one list that are in different components and that no distance rules out.
+def rarest(rows: DataFrame, group: Sequence[str], keep: Column, short: Column) -> DataFrame:
+    """Rows (x, size, elements and ``group`` columns) exploded to ``keep`` of their rarest elements; ``brief`` marks those among
+    the first ``short``, ``at`` is the place among all ``n``.  Elements that no other row of the group has fill places and are left out."""
+    each = rows.select("x", *group, "size", keep.alias("keep"), short.alias("short"), F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    freq = each.groupBy(*group, "e").agg(F.count("*").alias("freq")).where("freq > 1")
+    firsts = [F.first(c).alias(c) for c in ("keep", "short", "n", "size")]
+    listed = each.join(freq, [*group, "e"]).groupBy("x", *group).agg(*firsts, F.sort_array(F.collect_list(F.struct("freq", "e"))).alias("list"))
+    own = F.col("n") - F.size("list")
+    room = (F.col("keep") - own).cast("int")
+    rest = listed.where(room > 0).select("x", *group, "size", "n", "short", own.alias("own"), F.posexplode(F.slice("list", F.lit(1), room)).alias("at", "p"))
+    at = F.col("own") + F.col("at") + 1
+    return rest.select("x", *group, "size", "n", at.alias("at"), (at <= F.col("short")).alias("brief"), F.col("p.e").alias("e"))
+
+
+def near_pairs(measured: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
+    """Candidates among members near one centre c of which one or both are not linked with it.
 
-    The number of unequal coordinates is a metric: if two members differ from the list's first by numbers that lie
-    further apart than a candidate pair's, they are no candidates.
+    Let D be the shingles in which a member differs from c.  x and y have the similarity s only if their difference
+    |Dx| + |Dy| - 2 |Dx and Dy| is at most q (|x| + |y|) with q = (1 - s) / (1 + s).  If y is not linked with c,
+    |Dy| > q (|y| + |c|), so |Dx and Dy| > (|Dx| + q (|c| - |x|)) / 2: x needs the prefix that this leaves, which is
+    short.  A y that meets linked members has the bound |Dy| - q (|x| + |y|) with |x| <= |y| / s only, a long prefix.
     """
-    far = spec.coordinates - spec.matches
-    rows = labelled(posts, labels, "cls", "comp")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    rows = rows.join(mixed, "token").join(firsts, "token").join(met.select(F.col("a").alias("cls"), F.col("b").alias("first"), "m"), ["cls", "first"], "left")
-    rows = rows.join(classes.select("cls", "n_shingles"), "cls")
-    gap = F.when(F.col("cls") == F.col("first"), 0).otherwise(spec.coordinates - F.col("m"))
-    rows = stored(rows.select("token", "cls", "comp", "n_shingles", gap.alias("gap")), "mixed")
-    x, y = rows.alias("x"), rows.alias("y")
-    near = (F.abs(F.col("x.gap") - F.col("y.gap")) <= far) & sizes_allow(F.col("x.n_shingles"), F.col("y.n_shingles"), spec)
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") > F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & near
-    pairs = x.join(y, on).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    return pairs.join(met.select("a", "b"), ["a", "b"], "left_anti")
+    s = spec.percent / 100
+    q = (1 - s) / (1 + s)
+    near = measured.where("diff is not null")
+    loose = near.where("not linked").select("b").distinct()
+    rows = near.join(loose, "b").select(F.col("a").alias("x"), F.col("b").alias("c"), "na", "nb", "linked", F.col("diff").alias("elements"), F.col("na").alias("size"))
+    n = F.size("elements")
+    short = n - F.greatest(F.lit(1), F.ceil((n + q * (F.col("nb") - F.col("na"))) / 2 - 1e-9)) + 1
+    long = n - F.greatest(F.lit(1), F.ceil(n - q * (1 + 1 / s) * F.col("na") - 1e-9)) + 1
+    posts = rarest(rows, ["c"], F.when(F.col("linked"), short).otherwise(F.greatest(short, long)), short)
+    posts = posts.join(rows.select("x", "c", "linked"), ["x", "c"])
+    one = F.col("l.linked") & ~F.col("r.linked") & F.col("l.brief") | F.col("r.linked") & ~F.col("l.linked") & F.col("r.brief")
+    none = ~F.col("l.linked") & ~F.col("r.linked") & F.col("l.brief") & F.col("r.brief")
+    return met(labelled(posts, labels, "x", "comp"), ["c", "e"], one | none, spec)
+
+
+def far_pairs(measured: DataFrame, mixed: DataFrame, texts: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
+    """Candidates of which one or both are far from the centre of a list they share: a prefix join on the full sets.
+
+    A member far from a centre has no link with one that is linked with the centre, since the distance is a metric;
+    so only members not linked with the centre come in.  Pairs near a common centre are left to :func:`near_pairs`.
+    """
+    ship(texts.sparkSession)
+    loose = mixed.join(measured.select(F.col("a").alias("cls"), F.col("b").alias("first"), "linked", F.col("diff").isNotNull().alias("near")), ["cls", "first"], "left")
+    loose = loose.where("cls <> first and not coalesce(linked, false)").groupBy("cls").agg(F.collect_set(F.when(F.col("near"), F.col("first"))).alias("centres"))
+    chosen = texts.join(loose, "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(spec)
+        for batch in batches:
+            names = [signer.names(t).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["x", "centres", "size", "elements"])
+
+    rows = stored(chosen.select("cls", "centres", "text").mapInArrow(run, "x binary, centres array<binary>, size long, elements array<long>"), "loose")
+    n = F.size("elements")
+    prefix = n - F.ceil(n * spec.percent / 100 - 1e-9) + 1
+    posts = rarest(rows, [], prefix, prefix)
+    posts = posts.join(rows.select("x", "centres"), "x")
+    return met(labelled(posts, labels, "x", "comp"), ["e"], ~F.arrays_overlap("l.centres", "r.centres"), spec)
+
+
+def met(posts: DataFrame, on: Sequence[str], allowed: Column, spec: Spec) -> DataFrame:
+    """Distinct pairs (a, b) of postings that meet in a list, are in different components and can be linked.
+
+    The first element that two sets have in common must leave enough of either for the overlap that a link takes.
+    """
+    q = (100 - spec.percent) / (100 + spec.percent)
+    left, right = posts.alias("l"), posts.alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
+    takes = (F.col("l.n") + F.col("r.n") - q * (F.col("l.size") + F.col("r.size"))) / 2 - 1e-6
+    enough = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) + 1 >= takes
+    other = (F.col("l.x") > F.col("r.x")) & (F.col("l.comp") != F.col("r.comp")) & allowed & enough & sizes_allow(F.col("l.size"), F.col("r.size"), spec)
+    for c in same:
+        other = c & other
+    return left.join(right, other).select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: Spec = Spec(), also: Sequence[str] = ()) -> DataFrame:
@@ -228,30 +299,27 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         "classes",
     )
     posts = stored(prefix_postings(classes, spec), "posts")
-    firsts = stored(posts.groupBy("token").agg(F.min("cls").alias("first"), F.count("*").alias("n")).where("n > 1").select("token", "first"), "firsts")
-    posts = posts.join(firsts.select("token"), "token", "left_semi")
+    firsts = stored(posts.groupBy("token").agg(F.max_by("cls", F.struct("common", "cls")).alias("first"), F.count("*").alias("n")).where("n > 1").select("token", "first"), "firsts")
+    lists = posts.select("cls", "token").join(firsts, "token")
 
-    star = posts.join(firsts, "token").where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
-    met = stored(collisions(star, classes, spec), "met")
-    likely = met.where(F.col("allowed") & (F.col("m") >= spec.matches))
+    star = lists.where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+    likely = stored(collisions(star, classes).where(F.col("m") >= spec.measured), "likely")
 
     # the texts of classes that can have partners
-    some = posts.select("cls").distinct().join(classes.select("cls", "id", "seal"), "cls")
+    some = lists.select("cls").distinct().join(classes.select("cls", "id", "seal"), "cls")
     same = F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.seal") == F.col("s.seal"))
     texts = stored(source.select("id", "seal", "text").alias("d").join(some.alias("s"), same).select("s.cls", "d.text").dropDuplicates(["cls"]), "texts")
 
-    best = likely.groupBy("a").agg(F.max(F.struct("m", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    links = stored(confirmed(best, texts, spec), "links")
-    labels = components(links)
-
-    rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = labelled(labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
-    links = stored(links.union(confirmed(rest, texts, spec)), "links")
+    measured = stored(measure(likely, texts, spec, difference=True), "measured")
+    links = measured.where("linked").select("a", "b")
     labels = components(links)
 
-    left = collisions(unjoined(posts, firsts, met, labels, classes, spec), classes, spec)
-    left = left.where(F.col("allowed") & (F.col("m") >= spec.matches))
-    links = stored(links.union(confirmed(left, texts, spec)), "links")
+    placed = labelled(lists, labels, "cls", "comp")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    mixed = placed.join(mixed, "token").select("cls", "first").distinct()
+    left = near_pairs(measured, labels, spec).union(far_pairs(measured, mixed, texts, labels, spec)).distinct()
+    left = stored(left.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "left")
+    links = stored(links.union(measure(left, texts, spec, difference=False).where("linked").select("a", "b")), "links")
     labels = components(links)
 
     whole = labelled(classes.select("cls", "id"), labels, "cls", "comp")
