@@ -115,15 +115,15 @@ def fit_label_model(votes: np.ndarray, rounds: int = 40, smooth: float = 0.5) ->
 
 
 def class_correlations(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Correlations of the voters' speaking within a class, weighted by the posteriors and averaged over the classes."""
+    """Correlations of the voters' speaking within a class: covariances pooled over the classes by the posteriors."""
     speaks = (votes != ABSTAIN).astype(float)
     total = np.zeros((votes.shape[1], votes.shape[1]))
     for weight in (toxic, 1 - toxic):
         w = weight / max(weight.sum(), 1e-9)
         centred = speaks - w @ speaks
-        cov = (centred * w[:, None]).T @ centred
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        total += cov / np.outer(sd, sd) * weight.mean()
+        total += (centred * w[:, None]).T @ centred * weight.mean()
+    sd = np.sqrt(np.maximum(np.diag(total), 1e-12))
+    total /= np.outer(sd, sd)
     np.fill_diagonal(total, 1)
     return total
 
