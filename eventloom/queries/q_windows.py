@@ -175,12 +175,12 @@ def full_matrix(r, window="w0_10"):
 
 @query("assemble_full", f"""
     WITH l AS ({LAB_SQL}), h AS ({_HITS}), b AS (
-        SELECT c.person_id, CAST(day(index_date) AS DOUBLE) AS f_age, CAST(max(CASE WHEN i = 'ERR' THEN 1 ELSE 0 END) AS DOUBLE) AS f_ind_viral_err,
-               CAST(max(CASE WHEN i = 'CLK' THEN 1 ELSE 0 END) AS DOUBLE) AS f_ind_immuno_clk, CAST(max(CASE WHEN i = 'BUY' THEN 1 ELSE 0 END) AS DOUBLE) AS f_ind_endo_buy,
-               CAST(max(CASE WHEN lab = 'purchase' THEN 1 ELSE 0 END) AS DOUBLE) AS f_lab_purchase_measured, max(peak) FILTER (lab = 'purchase') AS p,
-               CAST(coalesce(max(abnormal_count) FILTER (lab = 'purchase'), 0) AS DOUBLE) AS f_lab_purchase_abnormal_count,
-               CAST(coalesce(max(abnormal_any) FILTER (lab = 'click'), 0) AS DOUBLE) AS f_comp_cardiac_injury, max(peak / 40.0) FILTER (lab = 'click') AS s,
-               CAST(coalesce(max(abnormal_any) FILTER (lab = 'error'), 0) AS DOUBLE) AS f_comp_renal_injury, max(peak / 5.0) FILTER (lab = 'error') AS t
+        SELECT c.person_id, CAST(day(index_date) AS DOUBLE) AS f_age, max(CASE WHEN i = 'ERR' THEN 1 ELSE 0 END) AS f_ind_viral_err,
+               max(CASE WHEN i = 'CLK' THEN 1 ELSE 0 END) AS f_ind_immuno_clk, max(CASE WHEN i = 'BUY' THEN 1 ELSE 0 END) AS f_ind_endo_buy,
+               max(CASE WHEN lab = 'purchase' THEN 1 ELSE 0 END) AS f_lab_purchase_measured, max(peak) FILTER (lab = 'purchase') AS p,
+               coalesce(max(abnormal_count) FILTER (lab = 'purchase'), 0) AS f_lab_purchase_abnormal_count,
+               coalesce(max(abnormal_any) FILTER (lab = 'click'), 0) AS f_comp_cardiac_injury, max(peak / 40.0) FILTER (lab = 'click') AS s,
+               coalesce(max(abnormal_any) FILTER (lab = 'error'), 0) AS f_comp_renal_injury, max(peak / 5.0) FILTER (lab = 'error') AS t
         FROM s_cohort c LEFT JOIN h ON h.person_id = c.person_id AND h.win = 'w0_10' LEFT JOIN l ON l.person_id = c.person_id AND l.win = 'w0_10' GROUP BY 1, index_date)
     SELECT person_id, f_age, f_ind_viral_err, f_ind_immuno_clk, f_ind_endo_buy, f_lab_purchase_measured, f_lab_purchase_abnormal_count, f_comp_cardiac_injury, f_comp_renal_injury,
            round(coalesce(p, (SELECT median(p) FROM b)), 6) AS f_lab_purchase_peak, CASE WHEN p IS NULL THEN 1 ELSE 0 END AS f_lab_purchase_peak_miss,
@@ -297,9 +297,9 @@ def families_table_q(r):
     WITH h AS (SELECT c.person_id, {flag(below(3000001), 'f_c_n1')}, {flag(below(4000000), 'f_c_r0')}
                FROM cohort c LEFT JOIN conditions e ON e.person_id = c.person_id AND e.event_date <= c.index_date GROUP BY 1),
     v AS (SELECT c.person_id, count(DISTINCT v.event_id) AS n FROM cohort c JOIN visits v ON v.person_id = c.person_id AND v.event_date BETWEEN c.index_date - 365 AND c.index_date - 1 GROUP BY 1)
-    SELECT c.person_id, CAST(f_c_n1 AS DOUBLE) AS f_c_n1, CAST(f_c_r0 AS DOUBLE) AS f_c_r0, CAST(age_at_index AS DOUBLE) AS f_age,
-           CAST(CASE WHEN gender_concept_id = 8532 THEN 1 ELSE 0 END AS DOUBLE) AS f_sex_female, CAST(CASE WHEN gender_concept_id = 8507 THEN 1 ELSE 0 END AS DOUBLE) AS f_sex_male,
-           CAST(CASE WHEN gender_concept_id IN (8532, 8507) THEN 0 ELSE 1 END AS DOUBLE) AS f_sex_unknown, CAST(coalesce(n, 0) AS DOUBLE) AS f_eng_n_encounters_pre_index_1y
+    SELECT c.person_id, f_c_n1, f_c_r0, age_at_index AS f_age,
+           CASE WHEN gender_concept_id = 8532 THEN 1 ELSE 0 END AS f_sex_female, CASE WHEN gender_concept_id = 8507 THEN 1 ELSE 0 END AS f_sex_male,
+           CASE WHEN gender_concept_id IN (8532, 8507) THEN 0 ELSE 1 END AS f_sex_unknown, coalesce(n, 0) AS f_eng_n_encounters_pre_index_1y
     FROM cohort c JOIN h USING (person_id) LEFT JOIN v USING (person_id)""")
 def assemble_baseline_q(r):
     """Families joined by one union and one pivot."""

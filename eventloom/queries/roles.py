@@ -299,7 +299,7 @@ class Roles:
             (F.col("user_id") % 100).cast("int").alias("iteration"),
         ]
         return e.groupBy(*key).agg(
-            (F.avg("value") / 500).alias("auroc"), (F.max("value") / 1000).alias("auprc")
+            (F.avg("value") / 499).alias("auroc"), (F.max("value") / 997).alias("auprc")
         ).withColumn("seed", F.lit(42) + F.col("iteration").cast("long") * 1000)
 
     @cached_property

@@ -130,7 +130,7 @@ _ROLES = {
     # ---------------------------------------------------------------- evaluation domain
     "results": """
         SELECT event_type AS config, 'w' || (k % 6) AS feature_window, user_id % 100 AS iteration,
-               avg(value) / 500 AS auroc, max(value) / 1000 AS auprc, 42 + (user_id % 100) * 1000 AS seed
+               avg(value) / 499 AS auroc, max(value) / 997 AS auprc, 42 + (user_id % 100) * 1000 AS seed
         FROM (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events) GROUP BY 1, 2, 3, 6""",
     "predictions": """
         SELECT l_orderkey * 8 + l_linenumber AS row_id, l_linenumber AS seed, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_true,

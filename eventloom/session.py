@@ -28,9 +28,13 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The cluster's shared folder from ``spark.checkpoint.dir`` or the context; a local one for a local master only (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
