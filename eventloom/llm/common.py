@@ -59,12 +59,36 @@ def ship(spark: SparkSession) -> None:
     context._eventloom_shipped = True
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; workers live on for other tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same map of batches, with its memory released when its task ends."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return freed
+
+
 def map_texts(
     df: DataFrame, keys: Iterable[str], text: str, made: str, start: Callable[[], Callable[[str | None], tuple]]
 ) -> DataFrame:
     """One output row per input row: the key columns, then the columns of ``made`` (a DDL string).
 
-    ``start`` runs once in each task and gives the function from a text to the made values.  Only the named
+    ``start`` runs once in each task and gives the function from a text to the made values; what it keeps beyond the
+    task is let go by its ``forget``, if it has one.  Only the named
     columns reach Python, in Arrow batches that Spark bounds by bytes.
     """
     ship(df.sparkSession)
@@ -82,5 +106,8 @@ def map_texts(
             made_arrays = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keys) :], strict=True)]
             kept = [batch.column(i).cast(arrow.field(i).type) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*kept, *made_arrays], schema=arrow)
+            del rows, columns, made_arrays
+        if hasattr(one, "forget"):
+            one.forget()
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(freeing(run), schema)

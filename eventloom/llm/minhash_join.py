@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import checked_broadcast, map_texts, ship, stored
+from eventloom.llm.common import checked_broadcast, freeing, map_texts, ship, stored
 
 
 @dataclass(frozen=True)
@@ -156,7 +156,7 @@ def measure(pairs: DataFrame, texts: DataFrame, spec: Spec, difference: bool) ->
     of the two has alone.
     """
     ship(pairs.sparkSession)
-    both = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
+    both = checked_broadcast(pairs.select("a", "b")).join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     wide = 2 * spec.percent - 100
 
@@ -178,7 +178,7 @@ def measure(pairs: DataFrame, texts: DataFrame, spec: Spec, difference: bool) ->
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["a", "b", "na", "nb", "linked", "diff"])
 
-    return both.mapInArrow(run, "a binary, b binary, na long, nb long, linked boolean, diff array<long>")
+    return both.mapInArrow(freeing(run), "a binary, b binary, na long, nb long, linked boolean, diff array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def far_pairs(measured: DataFrame, mixed: DataFrame, texts: DataFrame, labels: D
             names = [signer.names(t).view(np.int64) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["x", "centres", "size", "elements"])
 
-    rows = stored(chosen.select("cls", "centres", "text").mapInArrow(run, "x binary, centres array<binary>, size long, elements array<long>"), "loose")
+    rows = stored(chosen.select("cls", "centres", "text").mapInArrow(freeing(run), "x binary, centres array<binary>, size long, elements array<long>"), "loose")
     n = F.size("elements")
     prefix = n - F.ceil(n * spec.percent / 100 - 1e-9) + 1
     posts = rarest(rows, [], prefix, prefix)
@@ -306,17 +306,24 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     likely = stored(collisions(star, classes).where(F.col("m") >= spec.measured), "likely")
 
     # the texts of classes that can have partners
-    some = lists.select("cls").distinct().join(classes.select("cls", "id", "seal"), "cls")
+    some = checked_broadcast(stored(lists.select("cls").distinct().join(classes.select("cls", "id", "seal"), "cls"), "some"))
     same = F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.seal") == F.col("s.seal"))
     texts = stored(source.select("id", "seal", "text").alias("d").join(some.alias("s"), same).select("s.cls", "d.text").dropDuplicates(["cls"]), "texts")
 
-    measured = stored(measure(likely, texts, spec, difference=True), "measured")
-    links = measured.where("linked").select("a", "b")
-    labels = components(links)
+    # one centre for each class settles most of them
+    best = stored(likely.groupBy("a").agg(F.max(F.struct("m", "b")).alias("top")).select("a", F.col("top.b").alias("b")), "best")
+    measured = stored(measure(best, texts, spec, difference=True), "measured")
+    labels = components(measured.where("linked").select("a", "b"))
 
     placed = labelled(lists, labels, "cls", "comp")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    mixed = placed.join(mixed, "token").select("cls", "first").distinct()
+    mixed = stored(placed.join(mixed, "token").select("cls", "first").distinct(), "mixed")
+    other = likely.select("a", "b").join(mixed.select(F.col("cls").alias("a"), F.col("first").alias("b")), ["a", "b"], "left_semi")
+    other = stored(other.join(best, ["a", "b"], "left_anti"), "other")
+    measured = stored(measured.union(measure(other, texts, spec, difference=True)), "measured")
+    links = measured.where("linked").select("a", "b")
+    labels = components(links)
+
     left = near_pairs(measured, labels, spec).union(far_pairs(measured, mixed, texts, labels, spec)).distinct()
     left = stored(left.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "left")
     links = stored(links.union(measure(left, texts, spec, difference=False).where("linked").select("a", "b")), "links")
