@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import checked_broadcast, map_texts, ship, stored
+from eventloom.llm.common import checked_broadcast, freeing, map_texts, ship, stored
 from eventloom.llm.fm_index import FmIndex
 
 WINDOW = 13
@@ -96,7 +96,7 @@ def build_shards(documents: DataFrame, keys: Sequence[str], text: str, shard_wor
         if place:
             yield flush()
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(freeing(run), schema)
 
 
 def search_block(phrases: list[bytes], items: list[list[str]], index: FmIndex, lengths: list[int]) -> list[tuple[list[tuple[int, int]], list[str]]]:
@@ -181,7 +181,7 @@ def find_contamination(
                     columns.append([[{"start": s, "end": e} for s, e in found[place[i]][0]] for i in keep])
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        return shards.mapInArrow(run, schema)
+        return shards.mapInArrow(freeing(run), schema)
 
     out = searched(0)
     if blocks > 1:

@@ -50,7 +50,7 @@ class Generations:
 class ForcedBpe:
     """Encoder and decoder for a vocabulary file with word-end suffix: NFC, lower case, words, byte symbols, merges."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 100_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -129,6 +129,10 @@ class ForcedBpe:
         # letter by letter: a capital sigma has one small form, wherever it stands
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
+    def forget(self) -> None:
+        for memo in (self.fragment, self.piece):
+            memo.young, memo.old = {}, {}
+
     def plain(self, text: str) -> list[tuple[str, int, str, tuple[int, ...]]]:
         young, piece = self.piece.young, self.piece
         return [young[w] if w in young else piece(w) for w in self.words.findall(self.normal(text))]
@@ -156,7 +160,7 @@ ENCODERS: dict[str, ForcedBpe] = {}
 
 
 def encoder(path: str) -> ForcedBpe:
-    """One encoder for each worker process and file; its memo serves later tasks too."""
+    """One encoder for each worker process and file; its memo is emptied at the end of a task."""
     if path not in ENCODERS:
         ENCODERS[path] = ForcedBpe(path)
     return ENCODERS[path]
@@ -183,6 +187,7 @@ def encode_documents(documents: DataFrame, path: str, doc_id: str = "doc_id", te
             ids = bpe.encode(value or "")
             return ids, bpe.decode(ids)
 
+        one.forget = bpe.forget
         return one
 
     return map_texts(documents, [doc_id], text, "ids array<int>, decoded string", start)
@@ -199,6 +204,7 @@ def digest_documents(documents: DataFrame, path: str, doc_id: str = "doc_id", te
             ids, decoded = " ".join([p[0] for p in parts]), " ".join([p[2] for p in parts])
             return sum(p[1] for p in parts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
+        one.forget = bpe.forget
         return one
 
     return map_texts(documents, [doc_id], text, "n_tokens long, ids_sha256 string, decoded_sha256 string", start)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import map_texts, ship
+from eventloom.llm.common import freeing, map_texts, ship
 from eventloom.llm.sampling import hashed_ids
 from eventloom.llm.spans import Span, joined
 
@@ -214,4 +214,4 @@ def redact_documents(documents: DataFrame, model: SecretModel, text: str = "text
                 columns[counted] = pa.array([o if t is None else len(t) for t, o in zip(texts, old, strict=True)], batch.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(freeing(run), documents.schema)

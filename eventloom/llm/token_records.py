@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.checksums import crc32c, crc32c_many, masked
-from eventloom.llm.common import shared_path, ship, stored
+from eventloom.llm.common import freeing, shared_path, ship, stored
 from eventloom.llm.stores import attempt_name, opened, write_whole
 
 FILE_BYTES = 32 << 20
@@ -167,7 +167,7 @@ def write_records(
         if offsets:
             yield close()
 
-    made = stored(ranged.mapInArrow(run, "partition int, number int, path string, records long, tokens long"), "files")
+    made = stored(ranged.mapInArrow(freeing(run), "partition int, number int, path string, records long, tokens long"), "files")
     # one row per file: running totals inside a partition, then over the partitions' sums
     inside = Window.partitionBy("partition").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     sums = made.groupBy("partition").agg(F.sum("tokens").alias("t"))
@@ -207,7 +207,7 @@ def read_records(spark: SparkSession, written: Written, shuffled: int | None = N
         for number in np.random.default_rng([seed, zlib.crc32(path.encode())]).permutation(count):
             yield int(number), read_at(path, int(number))
 
-    got = files.mapInArrow(run, "doc_id string, start long, n_tokens long, ids_crc32 long, path string, number long")
+    got = files.mapInArrow(freeing(run), "doc_id string, start long, n_tokens long, ids_crc32 long, path string, number long")
     return got.withColumn("doc_id", F.col("doc_id").cast(written.id_type))
 
 

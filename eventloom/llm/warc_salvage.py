@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import checked_broadcast, shared_path, ship, stored
+from eventloom.llm.common import checked_broadcast, freeing, shared_path, ship, stored
 from eventloom.llm.stores import attempt_name, read_whole, write_whole
 
 FILE_BYTES = 16 << 20
@@ -210,7 +210,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if parts:
             yield close()
 
-    return stored(rows.mapInArrow(run, "path string, records long"), "archives")
+    return stored(rows.mapInArrow(freeing(run), "path string, records long"), "archives")
 
 
 SCHEMA = "path string, start long, end long, record_type string, page_id string, url string, payload_bytes long, payload_digest string, refers_to string, gap string"
@@ -249,7 +249,7 @@ def read_archives(files: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 yield to_batch(list(rows_of(path, read_whole(path))))
 
-    return files.select("path").repartition(parts, F.xxhash64("path")).mapInArrow(run, SCHEMA)
+    return files.select("path").repartition(parts, F.xxhash64("path")).mapInArrow(freeing(run), SCHEMA)
 
 
 def read_foreign(spark: SparkSession, pattern: str) -> DataFrame:
@@ -261,7 +261,7 @@ def read_foreign(spark: SparkSession, pattern: str) -> DataFrame:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield to_batch(list(rows_of(path, data.as_py())))
 
-    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(freeing(run), SCHEMA)
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id") -> DataFrame:

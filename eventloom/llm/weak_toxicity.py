@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import map_texts, ship, stored
+from eventloom.llm.common import freeing, map_texts, ship, stored
 from eventloom.llm.sampling import hashed_ids
 
 #: Common insults, in the languages of the corpus.
@@ -192,7 +192,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             grams = list(count[0] | count[1])
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([count[1][g] for g in grams], pa.int64()), pa.array([count[0][g] for g in grams], pa.int64())], ["gram", "toxic", "clean"])
 
-    return texts.select("text", "toxic").mapInArrow(run, "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return texts.select("text", "toxic").mapInArrow(freeing(run), "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def choose_marks(counts: DataFrame, support: int, precision: float, most: int) -> tuple[str, ...]:
@@ -228,7 +228,7 @@ def fit(
             held = [sorted(index[g] for g in grams_of(words_in(t)) if g in index) for t in rows]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.binary()), pa.array(held, pa.list_(pa.int32()))], ["votes", "held"])
 
-    got = texts.select("text").mapInArrow(run, "votes binary, held array<int>").orderBy("votes", "held").collect()
+    got = texts.select("text").mapInArrow(freeing(run), "votes binary, held array<int>").orderBy("votes", "held").collect()
     if not got:
         k = len(voters.names)
         return ToxicityModel(voters, LabelModel(tables=np.full((k, 2, 3), 1 / 3), correlations=np.eye(k), weights=np.ones(k)), LinearModel(dict.fromkeys(voters.marks + tuple(w for ws in LEXICON.values() for w in ws), 4.0), -2.0))
@@ -261,4 +261,4 @@ def drop_toxic(documents: DataFrame, model: ToxicityModel, text: str = "text") -
         for batch in batches:
             yield batch.filter(pa.array([linear.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(freeing(run), documents.schema)
