@@ -165,11 +165,14 @@ def class_composite(pairs: DataFrame, cohort: DataFrame, parts: Sequence[str], n
     return flags(cohort, hits.withColumn("set_id", F.lit(name)), [name])
 
 
-def visit_days(visits: DataFrame) -> DataFrame:
-    """Distinct (person_id, event_date) covered by visits: an interval join becomes an equi-join."""
-    return visits.select(
-        "person_id", F.explode(F.sequence("event_date", F.greatest("visit_end", "event_date"))).alias("event_date")
-    ).distinct()
+def during_visits(rows: DataFrame, visits: DataFrame) -> DataFrame:
+    """Rows (person_id, event_date, ...) on a day of one of the person's visits.
+
+    A semi-join by person with the dates as its condition: no visit is unfolded into days, however late it ends.
+    """
+    stays = visits.select(F.col("person_id").alias("_p"), F.col("event_date").alias("_from"), F.greatest("visit_end", "event_date").alias("_to"))
+    inside = (F.col("person_id") == F.col("_p")) & F.col("event_date").between(F.col("_from"), F.col("_to"))
+    return rows.join(stays, inside, "left_semi")
 
 
 def index_stays(visits: DataFrame, cohort: DataFrame, types: Sequence[int], before: int = 1, after: int = 16) -> DataFrame:
@@ -185,8 +188,7 @@ def regimen_flag(
     """Inpatients given a drug of the set inside the acute window and during a qualifying visit."""
     inpatients = cohort.where(F.col("is_inpatient") == 1)
     given = in_person_window(set_days(drugs, membership), inpatients, "acute_start", "acute_end")
-    days = visit_days(index_stays(visits, inpatients, types))
-    hits = given.join(days, ["person_id", "event_date"], "left_semi").select("person_id").distinct()
+    hits = during_visits(given, index_stays(visits, inpatients, types)).select("person_id").distinct()
     return flags(cohort, hits.withColumn("set_id", F.lit(name)), [name])
 
 
@@ -321,7 +323,6 @@ def acute_severity(
     hosp = lookup_join(stays, icu_sites, ["site_id"], ["event_id"], "left").groupBy("person_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(los).alias("los"), F.max(F.coalesce("_icu", F.lit(0))).alias("site")
     )
-    days = visit_days(stays)
     obs_daily = observations.groupBy("person_id", "event_date").agg(
         F.max((F.col("concept_id").isin(*icu_observations) | F.coalesce(ilike_any("source_text", icu_text), F.lit(False))).cast("int")).alias("icu_obs"),
         F.max(F.col("concept_id").isin(*ventilation_mode).cast("int")).alias("vent"),
@@ -332,7 +333,7 @@ def acute_severity(
         F.min(F.when(is_spo2, F.col("value"))).alias("spo2_min"),
     ).where("icu_meas > 0 OR spo2_min IS NOT NULL")
     both = obs_daily.unionByName(meas_daily, allowMissingColumns=True)
-    during = both.join(days, ["person_id", "event_date"], "left_semi").groupBy("person_id").agg(
+    during = during_visits(both, stays).groupBy("person_id").agg(
         F.max("icu_obs").alias("icu_obs"), F.max("vent").alias("vent"), F.max("icu_meas").alias("icu_meas"),
         F.min("spo2_min").alias("spo2_min"),
     )

@@ -20,7 +20,7 @@ from ..functions.predicates import decode_result, has_any_value, ilike_any, is_e
 from ..functions.skew import literal_table, lookup_join
 from ..schema import CONDITION, DRUG, MEASUREMENT, OBSERVATION, PROCEDURE, VISIT
 from .concepts import ConceptSpec, Vocabulary, known_size, resolve_all
-from .windows import Window, cohort_windows, explode_matching, with_windows
+from .windows import Window, cohort_windows, explode_matching, with_windows, within_cohort_dates
 
 # kind -> (domain, reads source text, gate)
 KINDS = {
@@ -302,7 +302,7 @@ def indicator_hits(
     Elevated-episode indicators are left out of windows shorter than
     ``min_episode_window`` days.
     """
-    daily = daily_hits(events, specs, vocabulary, providers, sites)
+    daily = daily_hits(within_cohort_dates(events, cohort, windows), specs, vocabulary, providers, sites)
     params = literal_table(events.sparkSession, _parameters(specs), _PARAMS).select(
         "indicator", "kind", "gap", "min_n", "min_day", "anchored"
     )
@@ -311,6 +311,12 @@ def indicator_hits(
         (F.col("kind") != "MEAS_ELEV_EPISODES_GAP") | (F.col("w_end") - F.col("w_start") >= min_episode_window)
     )
     key = ["person_id", "window", "indicator"]
+    # most kinds need sums and maxima only; those with episodes or runs go through the ordered pass
+    in_order = F.col("kind").isin(*EPISODE_KINDS, "MEAS_PERSISTENT_POSITIVITY")
+    plain = windowed.where(~in_order).groupBy(*key, "kind", "min_n").agg(
+        F.sum("n").alias("n"), F.lit(0).cast("long").alias("episodes"), F.max(F.col("left") * F.col("right")).alias("paired"), F.lit(0).alias("persistent")
+    )
+    windowed = windowed.where(in_order)
     by_day = W.partitionBy(*key).orderBy("event_date")
     previous = F.lag(F.when(F.col("n") > 0, F.col("event_date"))).over(by_day)
     starts = F.when(
@@ -337,6 +343,9 @@ def indicator_hits(
         F.max("paired").alias("paired"),
         F.max((enough & late).cast("int")).alias("persistent"),
     )
+    ordered_kinds = any(s.kind in (*EPISODE_KINDS, "MEAS_PERSISTENT_POSITIVITY") for s in specs)
+    plain_kinds = any(s.kind not in (*EPISODE_KINDS, "MEAS_PERSISTENT_POSITIVITY") for s in specs)
+    per_key = per_key.unionByName(plain) if ordered_kinds and plain_kinds else per_key if ordered_kinds else plain
     hit = (
         F.when(F.col("kind").isin(*EPISODE_KINDS), F.col("episodes") >= F.col("min_n"))
         .when(F.col("kind").isin(*REPEAT_KINDS), F.col("n") >= F.col("min_n"))

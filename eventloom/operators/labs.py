@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import quantile, running_totals
 from ..functions.skew import literal_table, lookup_join, salted_join
 from .concepts import ConceptSpec, Vocabulary, resolve_all
-from .windows import Window, cohort_windows, explode_matching, with_windows
+from .windows import Window, cohort_windows, explode_matching, with_windows, within_cohort_dates
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,8 @@ def lab_summary(
     met with the cohort by a join that splits heavy persons, and the median is
     read from running totals, so no group is held in memory.
     """
-    numeric = measurements.where(F.col("value").isNotNull()).select("person_id", "concept_id", "event_date", "event_id", "value")
+    near = within_cohort_dates(measurements, cohort, windows)
+    numeric = near.where(F.col("value").isNotNull()).select("person_id", "concept_id", "event_date", "event_id", "value")
     rows = lookup_join(numeric, members, ["concept_id"], ["event_id"])
     cells = rows.groupBy("person_id", "lab", "high", "low", "event_date", "value").agg(
         F.count(F.lit(1)).alias("n"), F.max("event_id").alias("event_id")
@@ -112,7 +113,8 @@ def daily_components(
     measurements: DataFrame, cohort: DataFrame, windows: Sequence[Window], members: DataFrame, names: Sequence[str]
 ) -> DataFrame:
     """Mean of each component per (person, window, day)."""
-    numeric = measurements.where(F.col("value").isNotNull()).select("person_id", "concept_id", "event_date", "event_id", "value")
+    near = within_cohort_dates(measurements, cohort, windows)
+    numeric = near.where(F.col("value").isNotNull()).select("person_id", "concept_id", "event_date", "event_id", "value")
     rows = lookup_join(numeric, members.select("concept_id", "lab"), ["concept_id"], ["event_id"])
     daily = rows.groupBy("person_id", "event_date").pivot("lab", list(names)).agg(F.avg("value"))
     return explode_matching(daily.join(with_windows(cohort, windows), "person_id"))

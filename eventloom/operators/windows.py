@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,20 @@ def explode_matching(joined: DataFrame, date: str = "event_date") -> DataFrame:
     ).drop("_w", "windows")
 
 
+def within_cohort_dates(events: DataFrame, cohort: DataFrame, windows: Sequence[Window], date: str = "event_date") -> DataFrame:
+    """Events between the earliest and the latest day that any member's windows reach.
+
+    Two dates are read from the cohort while the plan is built, so the bounds reach the files' statistics and nothing
+    outside them is aggregated or shuffled.  An empty cohort leaves no events.
+    """
+    first, last = cohort.agg(F.min("index_date"), F.max("index_date")).first()
+    if first is None or not windows:
+        return events.where(F.lit(False))
+    low, high = min(int(w[0]) for w in windows), max(int(w[1]) for w in windows)
+    bounds = [F.lit(first + dt.timedelta(days=low)), F.lit(last + dt.timedelta(days=high))]
+    return events.where((F.col(date) >= bounds[0]) & (F.col(date) <= bounds[1]))
+
+
 def in_person_window(events: DataFrame, cohort: DataFrame, start: str, end: str, keep: Sequence[str] = ()) -> DataFrame:
     """Events between two dates of their person.  A person has one cohort row."""
     people = cohort.select("person_id", F.col(start).alias("_from"), F.col(end).alias("_to"), *keep)
