@@ -12,6 +12,7 @@ from eventloom.llm import decontaminate as clean
 from eventloom.llm import forced_bpe as bpe
 from eventloom.llm import markov_secrets as secrets
 from eventloom.llm import minhash_join as minhash
+from eventloom.llm import oracles
 from eventloom.llm import token_records as records
 from eventloom.llm import warc_salvage as warc
 from eventloom.llm import weak_toxicity as toxicity
@@ -85,4 +86,4 @@ QUERIES = {
     "op9_anchored_pii": op9_anchored_pii,
     "op10_weak_toxicity": op10_weak_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
