@@ -8,8 +8,8 @@ long lists at its far end are skipped; the collisions of a pair met there are th
 A list is not expanded into all its pairs.  Each member meets the list's centre, the member whose coordinates are the
 most common, and links are confirmed on the full sets of words.  Members of one list that are still in different
 components meet each other only if their sets can reach the similarity: two sets near a common centre differ from it
-by nearly the same shingles, any other two share one of the rarest shingles of either (see :func:`near_pairs` and
-:func:`far_pairs`); both are prefix joins without a loss.
+by nearly the same shingles, which a prefix join without a loss finds (:func:`near_pairs`); any other two meet only
+if their signatures, compared by a few bits of each coordinate, leave enough collisions possible (:func:`far_pairs`).
 """
 
 from __future__ import annotations
@@ -110,8 +110,26 @@ class Signer:
         return (low & ~np.uint64(63)) | np.arange(self.spec.coordinates, dtype=np.uint64)
 
 
+def marks_of(tokens: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate's minimum, sixteen coordinates to a number: unequal bits prove unequal minima."""
+    bits = np.zeros(-(-len(tokens) // 16) * 16, np.uint64)
+    bits[: len(tokens)] = tokens >> np.uint64(6) & np.uint64(15)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.bitwise_or.reduce(bits.reshape(-1, 16) << shifts, axis=1)
+
+
+def surely_unequal(x: Column, y: Column, spec: Spec) -> Column:
+    """How many coordinates differ for sure, by the marks of two classes."""
+    total = F.lit(0)
+    for i in range(-(-spec.coordinates // 16)):
+        z = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        any_bit = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3))
+        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def signed(documents: DataFrame, keys: Sequence[str], text: str, spec: Spec) -> DataFrame:
-    """Per row: keys, ``n_shingles``, ``cls`` (digest of the set, null without words) and ``tokens`` (the postings)."""
+    """Per row: keys, ``n_shingles``, ``cls`` (digest of the set, null without words) and ``tokens`` (the postings) and ``marks``."""
 
     def start():
         signer = Signer(spec)
@@ -119,12 +137,13 @@ def signed(documents: DataFrame, keys: Sequence[str], text: str, spec: Spec) ->
         def one(value: str | None) -> tuple:
             names = signer.names(value)
             if not len(names):
-                return 0, None, None
-            return len(names), hashlib.blake2b(names.tobytes(), digest_size=16).digest(), signer.tokens(names).view(np.int64)
+                return 0, None, None, None
+            tokens = signer.tokens(names)
+            return len(names), hashlib.blake2b(names.tobytes(), digest_size=16).digest(), tokens.view(np.int64), marks_of(tokens).view(np.int64)
 
         return one
 
-    return map_texts(documents, keys, text, "n_shingles long, cls binary, tokens array<long>", start)
+    return map_texts(documents, keys, text, "n_shingles long, cls binary, tokens array<long>, marks array<long>", start)
 
 
 def prefix_postings(classes: DataFrame, spec: Spec) -> DataFrame:
@@ -238,29 +257,22 @@ def near_pairs(measured: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
     return met(labelled(posts, labels, "x", "comp"), ["c", "e"], one | none, spec)
 
 
-def far_pairs(measured: DataFrame, mixed: DataFrame, texts: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
-    """Candidates of which one or both are far from the centre of a list they share: a prefix join on the full sets.
+def far_pairs(lists: DataFrame, mixed: DataFrame, measured: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
+    """Candidates of one list of which one or both are far from its centre.
 
     A member far from a centre has no link with one that is linked with the centre, since the distance is a metric;
-    so only members not linked with the centre come in.  Pairs near a common centre are left to :func:`near_pairs`.
+    so only members not linked with the centre come in, and pairs near it are left to :func:`near_pairs`.  Members
+    meet by their marks: a pair with too many coordinates that differ for sure is never made.
     """
-    ship(texts.sparkSession)
-    loose = mixed.join(measured.select(F.col("a").alias("cls"), F.col("b").alias("first"), "linked", F.col("diff").isNotNull().alias("near")), ["cls", "first"], "left")
-    loose = loose.where("cls <> first and not coalesce(linked, false)").groupBy("cls").agg(F.collect_set(F.when(F.col("near"), F.col("first"))).alias("centres"))
-    chosen = texts.join(loose, "cls")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(spec)
-        for batch in batches:
-            names = [signer.names(t).view(np.int64) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.int64()))], ["x", "centres", "size", "elements"])
-
-    rows = stored(chosen.select("cls", "centres", "text").mapInArrow(freeing(run), "x binary, centres array<binary>, size long, elements array<long>"), "loose")
-    n = F.size("elements")
-    prefix = n - F.ceil(n * spec.percent / 100 - 1e-9) + 1
-    posts = rarest(rows, [], prefix, prefix)
-    posts = posts.join(rows.select("x", "centres"), "x")
-    return met(labelled(posts, labels, "x", "comp"), ["e"], ~F.arrays_overlap("l.centres", "r.centres"), spec)
+    seen = measured.select(F.col("a").alias("cls"), F.col("b").alias("first"), "linked", F.col("diff").isNotNull().alias("near"))
+    loose = lists.join(mixed, "token", "left_semi").where("cls <> first").join(seen, ["cls", "first"], "left").where("not coalesce(linked, false)")
+    rows = loose.join(classes.select("cls", "n_shingles", "marks"), "cls")
+    rows = stored(rows.select("token", F.col("cls").alias("x"), "comp", F.col("n_shingles").alias("size"), "marks", F.coalesce("near", F.lit(False)).alias("near")), "loose")
+    left, right = rows.alias("l"), rows.alias("r")
+    far = surely_unequal(F.col("l.marks"), F.col("r.marks"), spec) <= spec.coordinates - spec.matches
+    apart = (F.col("l.x") > F.col("r.x")) & (F.col("l.comp") != F.col("r.comp")) & ~(F.col("l.near") & F.col("r.near"))
+    on = (F.col("l.token") == F.col("r.token")) & apart & sizes_allow(F.col("l.size"), F.col("r.size"), spec) & far
+    return left.join(right, on).select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
 
 
 def met(posts: DataFrame, on: Sequence[str], allowed: Column, spec: Spec) -> DataFrame:
@@ -294,8 +306,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     more = [f"also_{i}" for i in range(len(also))]
     rows = stored(signed(source, ["id", *more, "seal"], "text", spec), "signed")
     classes = stored(
-        rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "seal")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
-        .select("cls", F.col("r.id").alias("id"), F.col("r.seal").alias("seal"), "n_shingles", "tokens"),
+        rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "seal")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("marks").alias("marks"))
+        .select("cls", F.col("r.id").alias("id"), F.col("r.seal").alias("seal"), "n_shingles", "tokens", "marks"),
         "classes",
     )
     posts = stored(prefix_postings(classes, spec), "posts")
@@ -316,15 +328,15 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     labels = components(measured.where("linked").select("a", "b"))
 
     placed = labelled(lists, labels, "cls", "comp")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    mixed = stored(placed.join(mixed, "token").select("cls", "first").distinct(), "mixed")
-    other = likely.select("a", "b").join(mixed.select(F.col("cls").alias("a"), F.col("first").alias("b")), ["a", "b"], "left_semi")
+    mixed = stored(placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "mixed")
+    members = placed.join(mixed, "token").select("cls", "first").distinct()
+    other = likely.select("a", "b").join(members.select(F.col("cls").alias("a"), F.col("first").alias("b")), ["a", "b"], "left_semi")
     other = stored(other.join(best, ["a", "b"], "left_anti"), "other")
     measured = stored(measured.union(measure(other, texts, spec, difference=True)), "measured")
     links = measured.where("linked").select("a", "b")
     labels = components(links)
 
-    left = near_pairs(measured, labels, spec).union(far_pairs(measured, mixed, texts, labels, spec)).distinct()
+    left = near_pairs(measured, labels, spec).union(far_pairs(labelled(lists, labels, "cls", "comp"), mixed, measured, classes, spec)).distinct()
     left = stored(left.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "left")
     links = stored(links.union(measure(left, texts, spec, difference=False).where("linked").select("a", "b")), "links")
     labels = components(links)
@@ -332,7 +344,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     whole = labelled(classes.select("cls", "id"), labels, "cls", "comp")
     least = whole.groupBy("comp").agg(F.min("id").alias("component_id"))
     by_class = whole.join(least, "comp").select("cls", "component_id")
-    out = rows.drop("tokens", "seal").join(by_class, "cls", "left")
+    out = rows.drop("tokens", "marks", "seal").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(doc_id), *[F.col(m).alias(c) for m, c in zip(more, also, strict=True)], "n_shingles", "cls",
