@@ -90,7 +90,7 @@ KEY_ROWS = 20_000
 """Most repeats whose curves (a short array each) are broadcast."""
 
 
-def _newton(cells: DataFrame, keys: Sequence[str], fit_slope: bool, steps: int, tolerance: float = 1e-12) -> DataFrame:
+def _newton(cells: DataFrame, keys: Sequence[str], fit_slope: bool, steps: int, tolerance: float = CONVERGED) -> DataFrame:
     """Grouped Newton iterations on (keys, z, n, y).
 
     A step is one aggregation over the collapsed cells of all keys; only the few
