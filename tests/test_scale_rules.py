@@ -44,6 +44,54 @@ def test_grids_are_whole():
     assert models.RepeatSettings().grid is None
 
 
+def test_model_queries_ask_for_the_whole_job(monkeypatch):
+    from types import SimpleNamespace
+
+    from eventloom.queries import q_models
+
+    asked = []
+
+    def repeat(matrix, features, iteration, kind="RF", settings=None, selected=None, **_):
+        asked.append((kind, settings, selected))
+        return SimpleNamespace(auroc=0.5)
+
+    def repeats(matrices, configs, n_repeats, kinds=("RF",), settings=None, **_):
+        assert n_repeats > 1
+        asked.extend((k, settings, None) for k in kinds)
+        return SimpleNamespace(select=lambda *_: None)
+
+    def select(train, features, seed, **other):
+        assert set(other) <= {"forced"}
+        return list(features)
+
+    def sites(matrix, features, site_col, **other):
+        assert not other
+
+    frame = SimpleNamespace(fillna=lambda *_: None, select=lambda *_: None)
+    for name, value in {"run_repeat": repeat, "run_repeats": repeats, "shadow_select": select, "cross_site": sites}.items():
+        monkeypatch.setattr(q_models.M, name, value)
+    monkeypatch.setattr(q_models.M, "permutation_importance", lambda result: None)
+    monkeypatch.setattr(q_models.M, "subtype_labels_for", lambda m, labels, subtype: m if subtype == "many" else None)
+    monkeypatch.setattr(q_models, "model_matrix", lambda r: frame)
+    monkeypatch.setattr(q_models, "result_row", lambda r, result: None)
+    monkeypatch.setattr(q_models, "literal_table", lambda *_: None)
+    monkeypatch.setattr(q_models, "F", SimpleNamespace(col=lambda *_: _Any(), lit=lambda *_: _Any()))
+    for run in ("boruta", "forest_repeat", "logistic_repeat", "boosted_repeat", "importance", "run_repeats", "cross_site", "subtype_runs"):
+        getattr(q_models, run)(SimpleNamespace(spark=None))
+    assert {k for k, _, _ in asked} == {"RF", "LR", "GBT"}
+    for _, s, selected in asked:
+        assert selected is None and (s.grid, s.n_folds, s.selection_rounds, s.selection_trees) == (None, 5, 50, 500)
+
+
+class _Any:
+    """Stands for a column."""
+
+    def __getattr__(self, name):
+        return lambda *_: self
+
+    __mul__ = __gt__ = lambda self, other: self
+
+
 def test_blocks_keep_their_types(spark):
     cohort = spark.createDataFrame([(1,), (2,), (3,)], "person_id BIGINT")
     a = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "person_id BIGINT, flag INT, none BIGINT")
