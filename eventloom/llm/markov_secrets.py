@@ -25,7 +25,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of hexadecimal digits that is long enough; a run starts where no such digit stands before it.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Where a candidate is cut into pieces.
+PIECE = re.compile(r"[^+/_-]+")
+#: Characters that a secret of kind random has at least, and words of a training sample at most.
+LEAST, MOST_WORDS = 16, 50_000
 
 #: 26 letters folded to lower and upper case, digits and joiners, and one class for all else.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -47,8 +51,9 @@ COMMON_WORDS = (
 KEY_ALPHABETS = (
     "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
     "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-",
 )
+UUID_CUTS = (8, 12, 16, 20)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -61,19 +66,27 @@ def base_spans(text: str) -> list[Span]:
 
 
 def random_samples(count: int, seed: int = 7) -> list[str]:
-    """Strings labelled random: uniform draws from each alphabet, 16 to 64 characters."""
+    """Strings labelled random: uniform draws from each alphabet, 16 to 64 characters, and hexadecimal groups joined as in a UUID."""
     rng = random.Random(seed)
-    return ["".join(rng.choices(KEY_ALPHABETS[i % len(KEY_ALPHABETS)], k=rng.randint(16, 64))) for i in range(count)]
+    out = []
+    for i in range(count):
+        kind = i % (len(KEY_ALPHABETS) + 1)
+        if kind < len(KEY_ALPHABETS):
+            out.append("".join(rng.choices(KEY_ALPHABETS[kind], k=rng.randint(16, 64))))
+        else:
+            digits = "".join(rng.choices(KEY_ALPHABETS[0], k=32))
+            out.append("-".join(digits[a:b] for a, b in zip((0, *UUID_CUTS), (*UUID_CUTS, 32), strict=True)))
+    return out
 
 
 def identifier_samples(words: Sequence[str], count: int, seed: int = 7) -> list[str]:
-    """Strings labelled ordinary: words and joins of two to four of them in the styles of code and addresses."""
+    """Strings labelled ordinary: words, joins of two to four of them in the styles of code and addresses, and ruled lines."""
     rng = random.Random(seed)
     words = [*words, *COMMON_WORDS * (1 + len(words) // (4 * len(COMMON_WORDS)))]
     out = []
     for i in range(count):
         some = [rng.choice(words) for _ in range(rng.randint(1, 4))]
-        style = i % 6
+        style = i % 7
         if style == 0:
             out.append(some[0])
         elif style == 1:
@@ -84,8 +97,10 @@ def identifier_samples(words: Sequence[str], count: int, seed: int = 7) -> list[
             out.append("".join(w.capitalize() for w in some))
         elif style == 4:
             out.append("_".join(some).upper())
-        else:
+        elif style == 5:
             out.append("/".join(some))
+        else:
+            out.append(rng.choice("-_+/") * rng.randint(16, 64))
     return out
 
 
@@ -120,22 +135,51 @@ class SecretModel:
         return float(self.ratio[STATES, codes[0]] + self.ratio[codes[:-1], codes[1:]].sum()) / len(codes)
 
 
-def looks_keyed(run: str) -> bool:
-    """Digits beside letters, or both cases mixed inside: what a key has and a word lacks."""
-    digits = sum(c.isdigit() for c in run)
-    upper, lower = sum(c.isupper() for c in run), sum(c.islower() for c in run)
-    return (digits >= 2 and upper + lower >= 2) or (upper >= 3 and lower >= 3 and digits >= 1)
+def widest(starts: np.ndarray, ends: np.ndarray, before: np.ndarray, total: np.ndarray) -> tuple[int, int] | None:
+    """The widest run of pieces (first and last) of at least LEAST characters whose mean ratio reaches the threshold.
+
+    ``total`` at a piece's end, less ``before`` at a piece's start, is what the run between them has above the threshold.
+    """
+    highest = np.maximum.accumulate(total[::-1])[::-1]
+    last = np.searchsorted(-highest, -before, side="right") - 1
+    first = np.arange(len(starts))
+    width = np.where(last >= first, ends[last] - starts, 0)
+    best = int(width.argmax())
+    return (best, int(last[best])) if width[best] >= LEAST else None
 
 
 def method_spans(text: str, model: SecretModel, threshold: float) -> list[Span]:
+    """Each candidate's widest runs of pieces that pass; ordinary words of four or more letters at their ends are left out."""
     out = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        # the runs between separators of identifiers are judged alone, so that a key after name= is found
-        for part in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", run):
-            if looks_keyed(part.group()) and model.score(part.group()) >= threshold:
-                out.append((m.start() + part.start(), m.start() + part.end(), "random"))
-    return out
+        pieces = [p.span() for p in PIECE.finditer(run)]
+        if not pieces:
+            continue
+        codes = encode(run)
+        total = np.concatenate([[0.0, 0.0], np.cumsum(model.ratio[codes[:-1], codes[1:]] - threshold)])
+        starts, ends = np.array(pieces).T
+        before = total[starts + 1] - (model.ratio[STATES, codes[starts]] - threshold)
+        after = total[ends]
+        open_runs = [(0, len(pieces))]
+        while open_runs:
+            lo, hi = open_runs.pop()
+            found = widest(starts[lo:hi], ends[lo:hi], before[lo:hi], after[lo:hi]) if lo < hi else None
+            if found is None:
+                continue
+            a, b = lo + found[0], lo + found[1]
+            open_runs += [(lo, a), (b + 1, hi)]
+
+            def word(k: int) -> bool:
+                piece = run[starts[k] : ends[k]]
+                return len(piece) >= 4 and piece.isalpha() and model.score(piece) <= 0
+
+            while a < b and word(a) and ends[b] - starts[a + 1] >= LEAST:
+                a += 1
+            while a < b and word(b) and ends[b - 1] - starts[a] >= LEAST:
+                b -= 1
+            out.append((m.start() + int(starts[a]), m.start() + int(ends[b]), "random"))
+    return sorted(out)
 
 
 def all_spans(text: str, model: SecretModel, threshold: float) -> list[Span]:
@@ -144,18 +188,18 @@ def all_spans(text: str, model: SecretModel, threshold: float) -> list[Span]:
     return base + [s for s in method_spans(text, model, threshold) if not any(s[0] < e and b < s[1] for b, e, _ in base)]
 
 
-def sample_words(documents: DataFrame, doc_id: str, text: str, rows: int) -> list[str]:
-    """Letter-only words of documents with one of about ``rows`` sampled ids; at most 50,000 distinct words, the first in order."""
+def sample_words(documents: DataFrame, doc_id: str, text: str, rows: int, most: int = MOST_WORDS) -> list[str]:
+    """Letter-only words of documents with one of about ``rows`` sampled ids; at most ``most`` distinct words, the first by hash."""
     key = F.col(f"`{doc_id}`")
     ids = hashed_ids(documents.where(key.isNotNull()).select(key.alias("i")).distinct(), rows)
     first = documents.join(F.broadcast(ids), key == F.col("i"), "left_semi").select(F.col(f"`{text}`").cast("string").alias("t"))
     words = first.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\b[a-zA-Z]{3,24}\b"), F.lit(0)))).alias("w"))
-    return [r.w for r in words.distinct().orderBy("w").limit(50_000).collect()]
+    return [r.w for r in words.distinct().orderBy(F.md5("w"), "w").limit(most).collect()]
 
 
-def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 500, samples: int = 20_000) -> SecretModel:
-    """Models from ``samples`` strings of each label; the words come from ``sample_rows`` texts (a bounded, repeatable sample)."""
-    words = sample_words(documents, doc_id, text, sample_rows)
+def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 500, samples: int = 20_000, most_words: int = MOST_WORDS) -> SecretModel:
+    """Models from ``samples`` strings of each label; the words come from ``sample_rows`` texts, at most ``most_words`` of them (bounded, repeatable samples)."""
+    words = sample_words(documents, doc_id, text, sample_rows, most_words)
     return SecretModel(random_samples(samples), identifier_samples(words, samples))
 
 
@@ -163,8 +207,8 @@ def find_secrets(documents: DataFrame, model: SecretModel, doc_id: str = "doc_id
     """Spans of secrets in every whole text.
 
     Columns: ``n_assign``, ``n_access``, ``n_hex``, ``n_random``, ``base_spans`` and ``spans`` (kind:start:end in code
-    points, end exclusive).  A span of kind ``random`` is a run of 16 or more key characters with digits or mixed
-    case whose mean log-likelihood ratio reaches ``threshold`` and that overlaps no base span.  Null and empty texts
+    points, end exclusive).  A span of kind ``random`` is a run of 16 or more key characters, ``-`` and ``_``
+    inside it included, whose mean log-likelihood ratio reaches ``threshold`` and that overlaps no base span.  Null and empty texts
     have no spans.  Rows are judged alone: repeated rows repeat, an empty table gives no rows, other columns are not
     read.
     """

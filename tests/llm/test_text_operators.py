@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -138,6 +139,38 @@ def test_added_spans_overlap_no_base_span(frame, secret_model):
     assert "q7Zk2" not in clean and "wJalr" not in clean and clean.endswith("plain internationalization") and clean.count("[SECRET]") == 2
 
 
+def test_keys_of_every_shape_are_judged_by_their_ratio(secret_model):
+    rng = random.Random(31)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    shapes = {"letters": lower + upper, "digits": digits, "base32": upper + "234567", "base64url": lower + upper + digits + "-_"}
+    for name, alphabet in shapes.items():
+        whole = 0
+        for _ in range(200):
+            key = "".join(rng.choices(alphabet, k=43)).strip("-_")
+            whole += (4, 4 + len(key), "random") in markov_secrets.method_spans(f"see {key} there", secret_model, 0.6)
+        assert whole >= 190, name
+    assert markov_secrets.method_spans("id 3F2504E0-4f89-41d3-9a0c-0305e82c3301.", secret_model, 0.6) == [(3, 39, "random")]
+    key = "q7Zk2vXw9Tb4LmR8sJ1yNc6HdF3gPaQ5"
+    for text in (f"request-handler/config/{key}", f"user_config-{key}-request_handler"):
+        (start, end, _), = markov_secrets.method_spans(text, secret_model, 0.6)
+        assert text[start:end] == key
+    for text in ("international-request-handler", "user_config_request_handler", "requestHandlerConfigUser", "-" * 40, "user" + "-" * 30 + "config"):
+        assert markov_secrets.method_spans(text, secret_model, 0.6) == [], text
+
+
+def test_many_pieces_take_bounded_time(secret_model):
+    text = "-".join(["user", "config", "q7Zk2vXw9Tb4LmR8"] * 3000)
+    began = time.perf_counter()
+    assert markov_secrets.method_spans(text, secret_model, 0.6)
+    assert time.perf_counter() - began < 10
+
+
+def test_training_words_are_chosen_by_hash(frame):
+    words = [a + b + c for a in "abcdefghij" for b in "klmnop" for c in "qrstuv"]
+    some = markov_secrets.sample_words(frame([(1, " ".join(words))]), "doc_id", "text", 10, most=60)
+    assert len(some) == 60 and some != sorted(words)[:60] and len({w[0] for w in some}) > 5
+
+
 def test_secrets_on_odd_rows(frame, odd_rows, secret_model):
     out = markov_secrets.find_secrets(frame(odd_rows), secret_model).collect()
     assert len(out) == len(odd_rows) and all(r.spans == "" for r in out)
