@@ -1,7 +1,9 @@
 """Main text of HTML pages by two passes of block rules.
 
 First each block is judged alone by its place, link density, length and density of stop words: good, bad, near-good
-or short.  Then ambiguous blocks inherit from the nearest decided blocks before and after them.
+or short.  Then ambiguous blocks inherit from the nearest decided blocks before and after them.  A mark of the article
+(``article``, ``main``, ``articleBody``) is one input of the first pass: where the marked blocks hold at least half
+of the plain text, it eases the limits for them and lowers the others by one step; elsewhere it counts for nothing.
 """
 
 from __future__ import annotations
@@ -53,13 +55,15 @@ CAMEL = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the first pass; lengths are in characters."""
+    """Limits of the first pass, and what they are eased by inside the article's mark; lengths are in characters."""
 
     short: int = 70
     long: int = 200
     low_stops: float = 0.20
     high_stops: float = 0.30
     links: float = 0.4
+    mark_stops: float = 0.20
+    mark_links: float = 0.4
 
 
 @dataclass
@@ -215,36 +219,47 @@ def blocks_of(page: str) -> list[Block]:
     return split.blocks
 
 
-def judge_alone(block: Block, rules: Rules) -> str:
-    if block.outside:
-        return BAD
-    if block.article:
-        return BAD if block.tag == "li" and block.link_density > 0.9 else GOOD
-    if block.link_density > rules.links:
+def judge_alone(block: Block, rules: Rules, marked: bool = False) -> str:
+    """``marked``: the page marks its article, and the mark holds most of the plain text."""
+    inside = marked and block.article
+    if block.outside or block.link_density > rules.links + (rules.mark_links if inside else 0):
         return BAD
     if len(block.text) < rules.short or block.tag in HEADINGS:
-        return SHORT
-    stops = block.stop_density
-    if stops >= rules.high_stops:
-        return GOOD if len(block.text) > rules.long else NEAR
-    return NEAR if stops >= rules.low_stops else BAD
+        return NEAR if inside else SHORT
+    stops = block.stop_density + (rules.mark_stops if inside else 0)
+    if stops >= rules.high_stops and len(block.text) > rules.long:
+        return NEAR if marked and not inside else GOOD
+    if stops >= rules.low_stops:
+        return SHORT if marked and not inside else NEAR
+    return BAD
 
 
-def inherit(blocks: list[Block]) -> None:
-    """Second pass: both neighbours' common label, else good for near-good blocks and for headings before a good one."""
-    decided = [b.label if b.label in (GOOD, BAD) else None for b in blocks]
+def nearest(decided: list[str | None]) -> tuple[list[str | None], list[str | None]]:
+    """The nearest decided label before each block, and after it."""
     before: list[str | None] = []
     last: str | None = None
     for d in decided:
         before.append(last)
         last = d or last
-    after: list[str | None] = [None] * len(blocks)
+    after: list[str | None] = [None] * len(decided)
     last = None
-    for i in range(len(blocks) - 1, -1, -1):
+    for i in range(len(decided) - 1, -1, -1):
         after[i] = last
         last = decided[i] or last
-    for b, d, x, y in zip(blocks, decided, before, after, strict=True):
+    return before, after
+
+
+def inherit(blocks: list[Block], marked: bool = False) -> None:
+    """Second pass: both neighbours' common label, else good for near-good blocks and for headings before a good one.
+
+    Marked blocks have only each other for neighbours, without what stands in adverts and the like between them.
+    """
+    decided = [b.label if b.label in (GOOD, BAD) else None for b in blocks]
+    within = [d if b.article and not b.outside else None for b, d in zip(blocks, decided, strict=True)] if marked else decided
+    everywhere, inside = nearest(decided), nearest(within)
+    for i, (b, d) in enumerate(zip(blocks, decided, strict=True)):
         if d is None:
+            x, y = (side[i] for side in (inside if marked and b.article else everywhere))
             if x == y or x is None or y is None:
                 b.label = x or y or (GOOD if b.label == NEAR else BAD)
             elif b.label == NEAR or b.tag in HEADINGS:
@@ -253,13 +268,19 @@ def inherit(blocks: list[Block]) -> None:
                 b.label = BAD
 
 
+def mark_holds_text(blocks: list[Block], rules: Rules) -> bool:
+    """Whether marked blocks hold at least half of the text that is neither outside nor links; not so for cards and teasers beside a story."""
+    plain = [b for b in blocks if not b.outside and b.link_density <= rules.links]
+    inside = sum(len(b.text) for b in plain if b.article)
+    return inside > 0 and 2 * inside >= sum(len(b.text) for b in plain)
+
+
 def labelled_blocks(page: str | None, rules: Rules = Rules()) -> list[Block]:
     blocks = blocks_of(page or "")
-    # where a page marks its article, what stands outside the mark is not part of it
-    marked = any(b.article and not b.outside for b in blocks)
+    marked = mark_holds_text(blocks, rules)
     for b in blocks:
-        b.label = BAD if marked and not b.article else judge_alone(b, rules)
-    inherit(blocks)
+        b.label = judge_alone(b, rules, marked)
+    inherit(blocks, marked)
     return blocks
 
 

@@ -242,6 +242,21 @@ def test_blocks_without_an_article_mark():
     assert labels == ["bad", "good", "good", "good", "good", "bad", "bad"]
 
 
+def test_the_mark_is_only_one_input():
+    long = "It was one of the days on which the people of the town had to go to the river and they did so with their boats as they have for years. " * 2
+    story = f"<div><h2>Title here</h2><p>{long}</p><p>Short one.</p><p>{long}</p></div>"
+    card = '<article><h3><a href="/x">Another story</a></h3><p>Read on about it</p></article>'
+    long = long.strip()
+    assert block_rules.main_text(f"<body>{story}<div>{card}{card}</div></body>").split("\n") == ["Title here", long, "Short one.", long]
+    # inside a mark that holds the text, link density and neighbours decide as well
+    links = "<ul><li><a href=1>One more</a></li></ul><p>See too</p><p><a href=2>And this other one</a></p>"
+    assert block_rules.main_text(f"<article><p>{long}</p>{links}</article>").split("\n") == [long]
+    # a lead beside the article's first block is kept, the same text between links is not
+    menu = "<p><a href=1>Home and all other pages</a></p>"
+    page = f"<body>{menu}<div><p>{long}</p></div>{menu}<div><p>{long}</p></div><article><p>{long}</p><p>{long}</p></article></body>"
+    assert [b.label for b in block_rules.labelled_blocks(page)] == ["bad", "bad", "bad", "good", "good", "good"]
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("plain & text of the sort that is to be found in the pages of an old and long book for us", "plain & text of the sort that is to be found in the pages of an old and long book for us"), ("<article>a<b", "a"), ("<article>1 < 2 <!-- x --> &am", "1 < 2 &am"), ("<article><p>a</article></p>", "a"), ("<article><script>x", "")])
 def test_broken_pages(page, text):
     assert block_rules.main_text(page) == text
