@@ -24,8 +24,9 @@ class Band:
     high: float | None
 
 
-#: Natural prose at zstandard level 3: short texts hardly compress, long ones reach 0.3 to 0.5.
-BANDS = (Band(0, None, None), Band(128, 0.35, None), Band(512, 0.33, 0.95), Band(2048, 0.30, 0.85), Band(8192, 0.25, 0.75))
+#: Natural prose at zstandard level 3: short texts hardly compress, long ones reach 0.3 to 0.5.  Texts under 96 bytes are
+#: often stored as they are, 9 to 13 bytes longer, whatever they hold: their upper limit is that of a single byte.
+BANDS = (Band(0, 0.35, 14.0), Band(96, 0.35, 1.05), Band(128, 0.35, 1.0), Band(256, 0.35, 0.95), Band(512, 0.33, 0.95), Band(2048, 0.30, 0.85), Band(8192, 0.25, 0.75))
 #: Limits for one chunk of CHUNK bytes, and the share of a text's chunks outside them that rejects it.
 CHUNK, CHUNK_SHARE = 4096, 0.25
 CHUNK_BAND = Band(CHUNK, 0.20, 0.80)
@@ -86,8 +87,9 @@ def compression_bands(
 ) -> DataFrame:
     """Base counts, zstandard ratios and the verdict for every whole text.
 
-    ``ratio`` is the compressed size over the size in bytes (1.0 for an empty text), ``bad_chunks`` counts whole
-    chunks outside ``chunk_band`` among ``n_chunks``.  A text is kept if it passes the base rules, its ratio is
+    ``ratio`` is the compressed size over the size in bytes (1.0 for an empty text), ``bad_chunks`` counts chunks
+    outside ``chunk_band`` among ``n_chunks``; the rest after the whole chunks is one more, judged as the last ``chunk``
+    bytes, or alone by the band of its length where it follows a bad chunk or none.  A text is kept if it passes the base rules, its ratio is
     inside its length's band and fewer than ``chunk_share`` of its chunks are bad.  Null and empty texts have no
     words and fail the base rules.  Rows are judged alone, so repeated rows give repeated results, an empty table
     gives no rows, and other columns of the input, whatever their names, are not read.
@@ -103,10 +105,16 @@ def compression_bands(
             failed = words < min_words or 100 * repeat > repeat_percent * words
             data = (value or "").encode("utf-8", "surrogatepass")
             ratio = len(packer.compress(data)) / len(data) if data else 1.0
-            bad = chunks = 0
+            chunks = -(-len(data) // chunk)
+            bad, last = 0, False
             for at in range(0, len(data) - chunk + 1, chunk):
-                chunks += 1
-                bad += outside(len(packer.compress(data[at : at + chunk])) / chunk, chunk_band)
+                last = outside(len(packer.compress(data[at : at + chunk])) / chunk, chunk_band)
+                bad += last
+            tail = data[len(data) // chunk * chunk :]
+            if tail and (last or len(data) < chunk):
+                bad += outside(len(packer.compress(tail)) / len(tail), band_of(len(tail), bands))
+            elif tail:
+                bad += outside(len(packer.compress(data[-chunk:])) / chunk, chunk_band)
             kept = not failed and not outside(ratio, band_of(len(data), bands)) and not (bad and bad >= chunk_share * chunks)
             return words, chars, symbols, dup, repeat, failed, kept, ratio, chunks, bad
 

@@ -48,6 +48,18 @@ def test_bands_reject_repetition_and_noise(frame, prose):
     assert got[3].ratio < got[1].ratio
 
 
+def test_tails_and_short_texts_are_judged(frame, prose):
+    rng = random.Random(3)
+    lines = ("one line again and again " * 160)[:4000]
+    whole = prose(7, 6000).encode("ascii", "ignore").decode()[:12_288]
+    noise = " ".join("".join(chr(rng.randint(33, 126)) for _ in range(5)) for _ in range(30))
+    rows = [(1, whole), (2, whole + lines), (3, whole + "A short end."), (4, noise), (5, prose(8, 30)[:150]), (6, whole[:3000] + " "), (7, "of it " * 15)]
+    got = {r.doc_id: r for r in compression_bands.compression_bands(frame(rows), repeat_percent=100, min_words=3).collect()}
+    assert [(got[i].n_chunks, got[i].bad_chunks) for i in (1, 2, 3, 4, 5, 6)] == [(3, 0), (4, 1), (4, 0), (1, 1), (1, 0), (1, 0)]
+    assert [got[i].kept for i in (1, 2, 3, 4, 5, 6, 7)] == [True, False, True, False, True, True, False]
+    assert all(b.low is not None and b.high is not None for b in compression_bands.BANDS)
+
+
 def test_bands_on_odd_rows(frame, odd_rows):
     out = compression_bands.compression_bands(frame(odd_rows)).collect()
     assert len(out) == len(odd_rows)
