@@ -1,7 +1,7 @@
 """Benchmark decontamination: an FM-index for each shard of the training texts, searched for the benchmark's windows.
 
-Shards are built once and stored in the shared folder; the windows come in blocks of bounded size, each of which is
-searched in every shard.  Occurrences are located and merged into the spans of words to remove.
+Shards are built once and stored in the shared folder, and so are the windows in blocks of bounded size, each of which
+is searched in every shard; a task meets pairs of a shard and a block.  Occurrences are located and merged into the spans of words to remove.
 """
 
 from __future__ import annotations
@@ -47,6 +47,14 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, size: int)
     return found.select(F.explode("phrases").alias("phrase"), F.col(f"`{item_id}`").cast("string").alias("item")).where("item is not null").distinct()
 
 
+def window_blocks(windows: DataFrame, blocks: int) -> DataFrame:
+    """One row per block, numbered from 0: its (phrase, item) windows, null for none."""
+    numbers = windows.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
+    block = F.pmod(F.xxhash64("phrase", "item"), F.lit(blocks)).cast("int")
+    held = windows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("phrase", "item")).alias("windows"))
+    return numbers.join(held, "block", "left")
+
+
 def build_shards(documents: DataFrame, keys: Sequence[str], text: str, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per shard: the keys of its rows as lists, where each row's text stands, and the index.
 
@@ -158,35 +166,30 @@ def find_contamination(
     rest = "row string, n_words long, items array<string>, spans array<struct<start:int,end:int>>"
     schema = T.StructType([*key_fields, *T.StructType.fromDDL(rest).fields])
 
-    def searched(block: int) -> DataFrame:
-        mine = windows.where(F.pmod(F.xxhash64("phrase", "item"), F.lit(blocks)) == block).collect()  # bounded by block_windows, give or take chance
-        by: dict[bytes, list[str]] = {}
-        for r in mine:
-            by.setdefault(bytes(r.phrase), []).append(r.item)
-        phrases = sorted(by)
-        items = [by[p] for p in phrases]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            arrow = to_arrow_schema(schema)
-            for batch in batches:
-                for shard in batch.to_pylist():
-                    lengths = shard["lengths"]
-                    found = search_block(phrases, items, FmIndex.load(shard), lengths)
-                    place = shard["place"]
-                    keep = [i for i, p in enumerate(place) if block == 0 or found[p][0]]
-                    columns = [[shard[f"key_{j}"][i] for i in keep] for j in range(len(keys))]
-                    columns += [[f"{shard['shard']}-{i}" for i in keep], [lengths[place[i]] for i in keep], [found[place[i]][1] for i in keep]]
-                    columns.append([[{"start": s, "end": e} for s, e in found[place[i]][0]] for i in keep])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-        return shards.mapInArrow(freeing(run), schema)
-
-    out = searched(0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (shard,) = batch.slice(at, 1).to_pylist()
+                by: dict[bytes, list[str]] = {}
+                for w in shard["windows"] or ():
+                    by.setdefault(bytes(w["phrase"]), []).append(w["item"])
+                phrases = sorted(by)
+                lengths = shard["lengths"]
+                found = search_block(phrases, [by[p] for p in phrases], FmIndex.load(shard), lengths)
+                place = shard["place"]
+                keep = [i for i, p in enumerate(place) if shard["block"] == 0 or found[p][0]]
+                columns = [[shard[f"key_{j}"][i] for i in keep] for j in range(len(keys))]
+                columns += [[f"{shard['shard']}-{i}" for i in keep], [lengths[place[i]] for i in keep], [found[place[i]][1] for i in keep]]
+                columns.append([[{"start": s, "end": e} for s, e in found[place[i]][0]] for i in keep])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    # a product without broadcast: the windows never pass the driver
+    pairs = shards.crossJoin(stored(window_blocks(windows, blocks), "blocks").hint("shuffle_replicate_nl"))
+    out = pairs.mapInArrow(freeing(run), schema)
     if blocks > 1:
-        for block in range(1, blocks):
-            out = out.unionByName(searched(block))
         # every row came once from the first block, and again from each that hit it
         named = [F.first(F.col(f"`{k}`"), ignorenulls=False).alias(k) for k in keys]
         out = out.groupBy("row").agg(*named, F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))

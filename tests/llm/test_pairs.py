@@ -148,6 +148,18 @@ def test_contamination_meets_scanning(spark, frame, contaminated, block):
         assert sum(s.end - s.start for s in r.spans) == r.n_hit and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
+def test_windows_stay_off_the_driver(spark, frame, prose, monkeypatch):
+    bench = spark.createDataFrame([(1, prose(601, 20)), (2, prose(600, 20))], "item_id BIGINT, text STRING")
+    docs = frame([(1, prose(600, 20)), (2, prose(601, 20)), (3, prose(603, 30)), (4, f"{prose(600, 20)} {prose(601, 20)}")])
+    with monkeypatch.context() as patch:
+        for name in ("collect", "toPandas", "toLocalIterator"):
+            patch.setattr(type(docs), name, lambda *_, **__: pytest.fail("rows came to the driver"))
+        plans = [decontaminate.find_contamination(docs, bench, block_windows=n) for n in (100_000, 3)]
+    for plan in plans:
+        assert "BroadcastNestedLoopJoin" not in plan._jdf.queryExecution().toString()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in plan.collect()) == [(1, 20, 20, ["2"]), (2, 20, 20, ["1"]), (3, 30, 0, []), (4, 40, 40, ["1", "2"])]
+
+
 def test_contaminated_documents_go(spark, frame, contaminated):
     rows, items = contaminated
     bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
