@@ -111,8 +111,10 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int
     if bytes(data[at : at + len(VERSION)]) != VERSION:
         raise Damaged("no version line")
     stop, window = -1, 1 << 12
-    while stop < 0 and window <= 1 << 20:
+    while stop < 0:
         stop = bytes(data[at : at + window]).find(b"\r\n\r\n")
+        if at + window >= len(data):
+            break
         window *= 16
     if stop < 0:
         raise Damaged("headers without end")
@@ -238,18 +240,25 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def read_archives(files: DataFrame) -> DataFrame:
-    """Records and gaps of the archives of a table of paths; a row with ``gap`` set is a quarantined range of bytes."""
+def read_archives(files: DataFrame, whole: bool = False) -> DataFrame:
+    """Records and gaps of the archives of a table of paths; a row with ``gap`` set is a quarantined range of bytes.
+
+    ``whole`` asks that each file has no gap and the number of page records that the table's ``records`` states; else the query fails.
+    """
     spark = files.sparkSession
     ship(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                yield to_batch(list(rows_of(path, read_whole(path))))
+            for path, *stated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = list(rows_of(path, read_whole(path)))
+                gaps = sum(r[-1] is not None for r in rows)
+                if whole and (gaps or len(rows) != stated[0]):
+                    raise ValueError(f"{path}: {gaps} gaps, {len(rows) - gaps} of {stated[0]} records")
+                yield to_batch(rows)
 
-    return files.select("path").repartition(parts, F.xxhash64("path")).mapInArrow(freeing(run), SCHEMA)
+    return files.select("path", *["records"] * whole).repartition(parts, F.xxhash64("path")).mapInArrow(freeing(run), SCHEMA)
 
 
 def read_foreign(spark: SparkSession, pattern: str) -> DataFrame:
@@ -268,5 +277,5 @@ def round_trip(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
     """Write archives to the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
     kind = dict(pages.dtypes)[page_id]
-    back = read_archives(write_archives(pages, shared_path(spark, "warc"), page_id)).where("gap is null")
+    back = read_archives(write_archives(pages, shared_path(spark, "warc"), page_id), whole=True)
     return back.select(F.col("page_id").cast(kind).alias(page_id), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

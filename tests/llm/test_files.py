@@ -87,6 +87,16 @@ def test_archives_round_trip(spark):
     assert warc_salvage.round_trip(pages.limit(0)).count() == 0
 
 
+def test_long_headers_are_read_and_lost_records_fail(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://x/" + "é" * 200_000, "<p>a</p>"), (2, "http://x/2", "<p>b</p>")], "page_id BIGINT, url STRING, html STRING")
+    assert sorted(r.page_id for r in warc_salvage.round_trip(pages).collect()) == [1, 2]
+    files = warc_salvage.write_archives(pages, str(tmp_path / "w"), "page_id")
+    assert warc_salvage.read_archives(files, whole=True).count() == 2
+    with pytest.raises(Exception, match="of 3 records|of 2 records"):
+        warc_salvage.read_archives(files.selectExpr("path", "records + 1 as records"), whole=True).collect()
+
+
+
 def made(n, level=5):
     return [warc_salvage.page_record(i, f"http://x/{i}", b"<p>%d WARC/1.1 </p>" % i * 40, None, False, "2024-01-01T00:00:00Z", level) for i in range(n)]
 
