@@ -53,4 +53,49 @@ SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = top
 FROM d JOIN top USING (h) JOIN digests USING (page_id)
 """
 
-ORACLES = {"op5_warc_salvage": WARC, "op6_minhash_join": MINHASH, "op7_fm_decontaminate": DECONTAMINATE}
+#: Every phrase of one to four words counted, cuts by equal joins of their parts.
+PHRASES = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS size),
+g AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM w CROSS JOIN sizes WHERE len(w) >= size) GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY 1),
+c AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS w FROM g WHERE size > 1 AND f >= 30),
+longer AS (SELECT DISTINCT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, f FROM (SELECT lang, w, f, size, k, unnest(range(1, size - k + 2)) AS i FROM c CROSS JOIN (SELECT unnest([2, 3]) AS k) WHERE k < size)),
+kept AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, phrase, max(f) AS most FROM longer GROUP BY 1, 2) m USING (lang, phrase) WHERE most IS NULL OR 100 * most::HUGEINT < 80 * c.f::HUGEINT),
+cuts AS (SELECT lang, phrase, f, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+scored AS (SELECT x.lang, x.phrase, x.f AS a, k, p.f AS l, q.f AS r, (2000000::HUGEINT * x.f) // (p.f::HUGEINT + q.f) AS score FROM cuts x JOIN g p ON p.lang = x.lang AND p.phrase = x.first JOIN g q ON q.lang = x.lang AND q.phrase = x.rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM best)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+_CRC = [0] * 256
+for _i in range(256):
+    _c = _i
+    for _ in range(8):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC[_i] = _c
+
+#: Near words by patterns with one place open: equal patterns differ by one replacement, a pattern without its place is a deletion.
+SPELLING = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), '{UPPER}', '{LOWER}') AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY 1, 2 HAVING length(run) >= 6),
+b AS (SELECT doc_id, run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substring(x, 2 * i - 1, 2))::BIGINT)), lambda c, v: xor(({_CRC}::BIGINT[])[(xor(c, v) & 255) + 1], c >> 8))) AS h FROM b),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+open AS (SELECT word, i, length(word) AS size, substring(word, 1, i - 1) AS head, substring(word, i + 1) AS tail FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM open a JOIN open b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail WHERE a.word <> b.word
+  UNION SELECT o.word, v.word FROM open o JOIN v ON v.word = o.head || o.tail
+  UNION SELECT v.word, o.word FROM open o JOIN v ON v.word = o.head || o.tail),
+told AS (SELECT near.a AS word, near.b AS other, x.n AS n, y.n AS m FROM near JOIN v x ON x.word = near.a JOIN v y ON y.word = near.b),
+best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, m, n FROM told QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, encode(other)) = 1),
+forms AS (SELECT word, n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM best),
+way AS (SELECT word, word AS spot, 0 AS step FROM v UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN forms f ON f.word = way.spot WHERE f.form IS NOT NULL)
+SELECT v.word, form, ends.spot AS root, v.n, coalesce(n_near, 0) AS n_near, form_n
+FROM v LEFT JOIN forms USING (word) JOIN (SELECT word, spot FROM way QUALIFY row_number() OVER (PARTITION BY word ORDER BY step DESC) = 1) ends ON ends.word = v.word
+"""
+
+ORACLES = {"op5_warc_salvage": WARC, "op6_minhash_join": MINHASH, "op7_fm_decontaminate": DECONTAMINATE, "op11_partenum_spelling": SPELLING, "op13_bwt_phrases": PHRASES}

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import anchored_pii as pii
 from eventloom.llm import block_rules as blocks
+from eventloom.llm import bwt_phrases as phrases
 from eventloom.llm import compression_bands as bands
 from eventloom.llm import decontaminate as clean
 from eventloom.llm import forced_bpe as bpe
 from eventloom.llm import markov_secrets as secrets
 from eventloom.llm import minhash_join as minhash
 from eventloom.llm import oracles
+from eventloom.llm import pu_quality as quality
+from eventloom.llm import spelling_variants as spelling
 from eventloom.llm import token_records as records
 from eventloom.llm import warc_salvage as warc
 from eventloom.llm import weak_toxicity as toxicity
@@ -74,6 +77,19 @@ def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op11_partenum_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score_documents(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op13_bwt_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_forced_bpe": op2_forced_bpe,
@@ -85,5 +101,8 @@ QUERIES = {
     "op8_block_rules": op8_block_rules,
     "op9_anchored_pii": op9_anchored_pii,
     "op10_weak_toxicity": op10_weak_toxicity,
+    "op11_partenum_spelling": op11_partenum_spelling,
+    "op12_pu_quality": op12_pu_quality,
+    "op13_bwt_phrases": op13_bwt_phrases,
 }
 ORACLES = oracles.ORACLES
