@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -6,16 +5,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from days import DAY0, day  # noqa: E402
 from eventloom.schema import EVENT_SCHEMA  # noqa: E402
 from eventloom.session import local_session  # noqa: E402
 
-DAY0 = dt.date(2021, 1, 1)
-
-
-def day(n):
-    return DAY0 + dt.timedelta(days=n)
-
-
 @pytest.fixture(scope="session")
 def spark():
     return local_session(8, partitions=4)

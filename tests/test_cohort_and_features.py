@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
+from days import day
 from eventloom.operators import assemble as A
 from eventloom.operators import blocks as B
 from eventloom.operators import cohort as C

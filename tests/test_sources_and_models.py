@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
+from days import day
 from eventloom import session
 from eventloom.operators import models as M
 from eventloom.session import checkpoint_dir, materialise
