@@ -54,6 +54,30 @@ def running_totals(distinct: DataFrame, keys: Sequence[str], value: str, measure
     )
 
 
+def range_splitters(rows: DataFrame, keys: Sequence[str], value: str, parts: int, per_part: int = 32) -> DataFrame:
+    """(keys, ``_cuts``): ``parts - 1`` or fewer ascending values that cut each group into about equal parts.
+
+    They are quantiles of a sample of the distinct values, some ``parts * per_part`` a group, picked by the value's
+    hash: partial samples merge, and a recomputed task finds the same cuts.  Only the balance hangs on them.
+    """
+    keys, scale = list(keys), 1 << 30
+    usable = rows.where(F.col(value).isNotNull()).select(*keys, value)
+    wanted = parts * per_part
+    rates = usable.groupBy(*keys).agg(F.least(F.lit(1.0), F.lit(float(wanted)) / F.count(F.lit(1))).alias("_rate"))
+    picked = usable.withColumn("_h", F.pmod(F.xxhash64(F.col(value), F.lit("cut")), F.lit(scale)))
+    same = picked.join(rates, keys) if keys else picked.crossJoin(rates)
+    sample = same.where(F.col("_h") < F.col("_rate") * scale).groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(parts - 1, 1))), lambda i: F.get("_s", F.floor(i * F.size("_s") / F.lit(parts)).cast("int")))
+    cuts = F.array_distinct(F.array_compact(at)) if parts > 1 else F.slice("_s", 1, 0)
+    return rates.drop("_rate").join(sample, keys, "left").select(*keys, F.coalesce(cuts, F.slice("_s", 1, 0)).alias("_cuts"))
+
+
+def in_range(rows: DataFrame, cuts: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the number of the value's range, from 0: the cuts at or below it.  Rows of groups without cuts go."""
+    number = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col(value)))
+    return rows.join(cuts, list(keys)).withColumn(name, number).drop("_cuts")
+
+
 def _at_rank(value: Column, weight: str, rank: Column) -> Column:
     inside = (F.col(f"{weight}_before") <= rank) & (rank < F.col(f"{weight}_before") + F.col(weight))
     return F.max(F.when(inside, value))

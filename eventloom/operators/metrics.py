@@ -307,31 +307,6 @@ def apply_logistic(eval_rows: DataFrame, coefficients: DataFrame, keys: Sequence
     return eval_rows.join(coefficients, list(keys)).withColumn("p_corrected", expit(eta)).drop("intercept", "slope", "slope_converged")
 
 
-def isotonic_fit(cal: DataFrame, key: str, score: str = "p_raw", label: str = "y_true"):
-    """One MLlib isotonic model per key value (keys are repeats, a bounded number)."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    models = {}
-    cells = collapse(cal, [key], score, label).withColumn("rate", F.col("y") / F.col("n")).withColumn("w", F.col("n").cast("double"))
-    for row in cal.select(key).distinct().orderBy(key).collect():
-        part = cells.where(F.col(key) == row[0])
-        model = IsotonicRegression(featuresCol="p", labelCol="rate", weightCol="w").fit(part)
-        models[row[0]] = (list(model.boundaries), list(model.predictions))
-    return models
-
-
-def apply_isotonic(eval_rows: DataFrame, models: dict, key: str, score: str = "p_raw") -> DataFrame:
-    """Apply the fitted step functions; probabilities outside the fitted range are clipped to its ends."""
-    spark = eval_rows.sparkSession
-    rows = []
-    for k, (xs, ys) in models.items():
-        rows += [(int(k), float(x), float(y)) for x, y in zip(xs, ys)]
-    table = spark.createDataFrame(rows, f"{key} INT, p DOUBLE, g DOUBLE")
-    arrays = _knot_arrays(table, [key])
-    joined = lookup_join(eval_rows, arrays, [key], [score], rows=KEY_ROWS)
-    return joined.withColumn("p_corrected", _interpolate(F.col(score), F.col("_knots"))).drop("_knots")
-
-
 def assess(predictions: DataFrame, keys: Sequence[str], score: str = "p_raw", label: str = "y_true", n_knots: int = 20) -> DataFrame:
     """All calibration measures of one score, one row per key."""
     keys = list(keys)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_quantiles
 from ..functions.stats import ERFC_A, ERFC_P
+from ..operators import isotonic as I
 from ..operators import metrics as M
 from ..operators import paired as P
 from ..operators import repeats as R
@@ -270,12 +271,40 @@ def calibration_errors(r):
     return M.calibration_errors(r.predictions, M.calibration_knots(r.predictions, ["seed"]), ["seed"])
 
 
-@query("isotonic")
+# The value at a score is the greatest over all beginnings before it of the least mean over all ends after it.
+_ISOTONIC = """
+    h AS (SELECT seed, p_raw, y_true, md5('c:' || row_id || ':' || seed) < '8' AS is_cal FROM predictions),
+    c AS (SELECT seed, p_raw AS p, count(*) AS n, sum(y_true) AS y FROM h WHERE is_cal GROUP BY 1, 2),
+    t AS (SELECT seed, p, row_number() OVER o AS i, sum(n) OVER o AS w, sum(y) OVER o AS s, n, y FROM c WINDOW o AS (PARTITION BY seed ORDER BY p)),
+    m AS (SELECT a.seed, a.i AS a, b.i AS b, b.p, min((b.s - a.s + a.y) / (b.w - a.w + a.n)) OVER (PARTITION BY a.seed, a.i ORDER BY b.i DESC) AS least FROM t a JOIN t b ON a.seed = b.seed AND a.i <= b.i),
+    g AS (SELECT seed, p, max(least) AS g FROM m GROUP BY 1, 2),
+    e AS (SELECT seed, p_raw AS p, count(*) AS n, sum(y_true) AS y FROM h WHERE NOT is_cal GROUP BY 1, 2),
+    lo AS (SELECT e.seed, e.p, n, y, g.p AS p0, g.g AS g0 FROM e ASOF LEFT JOIN g ON e.seed = g.seed AND e.p >= g.p),
+    both_ AS (SELECT lo.*, g.p AS p1, g.g AS g1 FROM lo ASOF LEFT JOIN g ON lo.seed = g.seed AND lo.p <= g.p),
+    v AS (SELECT seed, p, n, y, CASE WHEN p0 IS NULL THEN g1 WHEN p1 IS NULL OR p0 = p THEN g0 ELSE g0 + (g1 - g0) * (p - p0) / (p1 - p0) END AS v FROM both_)"""
+
+
+def _hashed_halves(r):
+    """Halves by the row's hash alone: several rows may bear one number and then share their half."""
+    return r.predictions.withColumn("is_cal", (F.md5(F.concat_ws(":", F.lit("c"), "row_id", "seed")) < "8").cast("int"))
+
+
+@query("isotonic", f"WITH {_ISOTONIC} SELECT seed, round(p, 6) AS p, CAST(sum(n) AS BIGINT) AS n, round(sum(n * v) / sum(n), 6) AS p_corrected FROM v GROUP BY seed, round(p, 6)")
 def isotonic(r):
-    halves = M.calibration_halves(r.predictions, "row_id")
-    models = M.isotonic_fit(halves.where("is_cal = 1"), "seed")
-    applied = M.apply_isotonic(halves.where("is_cal = 0"), models, "seed")
-    return applied.groupBy("seed").agg(F.avg("p_corrected").alias("mean_pred"), F.avg("y_true").alias("obs_rate"))
+    """Scores corrected by the isotonic fit of the other half, each distinct score with its rows."""
+    halves = _hashed_halves(r)
+    steps = I.isotonic_fit(halves.where("is_cal = 1"), ["seed"])
+    applied = I.apply_isotonic(halves.where("is_cal = 0"), steps, ["seed"])
+    return applied.groupBy("seed", F.round("p_raw", 6).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.avg("p_corrected").alias("p_corrected"))
+
+
+@query("isotonic_errors", f"WITH {_ISOTONIC} SELECT seed, round(sum(n * v) / sum(n), 6) AS mean_pred, round(sum(y) / sum(n), 6) AS obs_rate, round(sum(n * abs(v - p)) / sum(n), 6) AS mean_shift FROM v GROUP BY 1")
+def isotonic_errors(r):
+    """Mean corrected score against the observed rate of the half that was not fitted."""
+    halves = _hashed_halves(r)
+    applied = I.apply_isotonic(halves.where("is_cal = 0"), I.isotonic_fit(halves.where("is_cal = 1"), ["seed"]), ["seed"])
+    shift = F.avg(F.abs(F.col("p_corrected") - F.col("p_raw")))
+    return applied.groupBy("seed").agg(F.avg("p_corrected").alias("mean_pred"), F.avg("y_true").alias("obs_rate"), shift.alias("mean_shift"))
 
 
 @query("seed_summary", """
