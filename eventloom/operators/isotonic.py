@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranks import in_range, range_splitters
-from ..session import materialise
+from ..session import materialise, ship
 from .metrics import collapse
 
 CHUNK = 50_000
@@ -63,6 +63,7 @@ def _falling_edges(blocks: DataFrame, keys: list[str]) -> int:
 def isotonic_fit(cal: DataFrame, keys: Sequence[str], score: str = "p_raw", label: str = "y_true", chunk: int = CHUNK) -> DataFrame:
     """The step function per key: ``lo``, ``hi`` (the block's first and last score) and ``g``, stored; rows without a score or label are left out."""
     keys = list(keys)
+    ship(cal.sparkSession)
     usable = cal.where(F.col(score).isNotNull() & F.col(label).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     cells = collapse(usable, keys, score, label).select(*keys, F.col("p").cast("double").alias("lo"), F.col("n").alias("w"), F.col("y").alias("s"))
     cells = materialise(cells, "isotonic-cells")

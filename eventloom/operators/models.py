@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import quote
+
+import numpy as np
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -17,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import flag_first_k, with_hash, with_rank
 from ..functions.skew import literal_table
-from ..session import materialise
+from ..session import checkpoint_dir, materialise
+from ..sources.results import pending_runs
+from . import forests as T
 from .metrics import ranking_metrics
 from .repeats import (
     balance,
@@ -66,19 +74,23 @@ def _double(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ selection against shadows
 
+def ranked_once(df: DataFrame, seed: int, id_col: str = "person_id") -> DataFrame:
+    """Add ``_at``, the row's place from 0 in a hash order of all rows, and ``_n``, their number; stored."""
+    hashed = df.withColumn("_g", F.lit(0)).withColumn("_a", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(f"{seed}a"))))
+    ranked = with_rank(hashed, ["_g"], "_a", "_at", id_col).drop("_a", "_g")
+    return materialise(ranked.withColumn("_at", F.col("_at").cast("long") - 1), "ranked")
+
+
 def add_shadows(df: DataFrame, features: Sequence[str], seed: int, id_col: str = "person_id") -> DataFrame:
     """Append a permuted copy ``shadow_<feature>`` of every feature.
 
-    Every row has a place in each of two hash orders over all rows; it takes the
-    features of the row whose second place is its first.  The permutation is a
-    bijection of all rows, whatever their number, and repeats exactly.
+    Rows are ranked once (``ranked_once``, done here for a table without ``_at``); a round's permutation is arithmetic on the rank, a
+    keyed bijection of the row numbers, and one equal join.  It repeats exactly, whatever the partitions.
     """
-    key = F.col(id_col).cast("string")
-    hashed = df.withColumn("_g", F.lit(0)).withColumn("_a", F.md5(F.concat_ws(":", key, F.lit(f"{seed}a")))).withColumn("_b", F.md5(F.concat_ws(":", key, F.lit(f"{seed}b"))))
-    at = with_rank(hashed, ["_g"], "_a", "_at", id_col).drop("_a", "_b", "_g")
-    to = with_rank(hashed.select("_g", id_col, "_b", *[F.col(f"`{f}`") for f in features]), ["_g"], "_b", "_at", id_col)
-    donors = to.select("_at", *[F.col(f"`{f}`").alias(f"shadow_{f}") for f in features])
-    return at.join(donors, "_at").drop("_at")
+    ranked = df if "_at" in df.columns else ranked_once(df, seed, id_col)
+    n = ranked.count()
+    donors = ranked.select(T.permuted_column(F.col("_at"), n, seed).alias("_at"), *[F.col(f"`{f}`").alias(f"shadow_{f}") for f in features])
+    return ranked.join(donors, "_at").drop("_at")
 
 
 def _upper_tail(hits: int, n: int) -> float:
@@ -97,35 +109,55 @@ def _passes_both_corrections(p_values: Mapping[str, float], rounds: int, alpha:
     return {f for f in order[:limit] if p_values[f] <= alpha / rounds}
 
 
+def decide(open_features: Sequence[str], hits: Mapping[str, int], rounds: int, alpha: float = 0.05) -> tuple[set[str], set[str]]:
+    """The features whose hits after a number of rounds are too many, and too few, for a fair coin."""
+    up = _passes_both_corrections({f: _upper_tail(hits[f], rounds) for f in open_features}, rounds, alpha)
+    down = _passes_both_corrections({f: _lower_tail(hits[f], rounds) for f in open_features}, rounds, alpha)
+    return up, down
+
+
+def shadow_bar(shadows: Sequence[float], percentile: float) -> float:
+    """Percentile of the shadows' importances, linear between neighbours."""
+    return float(np.percentile(np.asarray(shadows, float), percentile))
+
+
 def shadow_select(
     train: DataFrame, features: Sequence[str], seed: int, rounds: int = 50, trees: int = 500, percentile: float = 97.0,
-    forced: Sequence[str] = (), depth: int = 7, alpha: float = 0.05, label: str = "label", id_col: str = "person_id",
+    forced: Sequence[str] = (), depth: int = 7, alpha: float = 0.05, label: str = "label", id_col: str = "person_id", on_round=None,
 ) -> list[str]:
     """Keep the features whose forest importance beats their permuted shadows.
 
     A round is a hit if the importance exceeds the percentile of the shadow
     importances; hits over rounds are tested against a fair coin.  Stops early
-    once every feature is decided; nothing kept means all are kept.
+    once every feature is decided; nothing kept means all are kept.  ``on_round``
+    receives (round, features, importances, bar).  A table within the bound of what tasks
+    hold is sent to them, and each grows some of the trees; a larger one is ranked once and fitted by MLlib.
     """
+    spark = train.sparkSession
+    table = T.gathered(train, features, label, id_col, trees)
+    ranked = None if table is not None else ranked_once(train.select(id_col, label, *features), seed, id_col)
     open_features, accepted = list(features), []
     hits = dict.fromkeys(features, 0)
+    place = {f: i for i, f in enumerate(features)}
     for r in range(1, rounds + 1):
         if not open_features:
             break
         used = [*accepted, *open_features]
-        shadowed = add_shadows(train.select(id_col, label, *used), used, seed + r, id_col)
-        names = [*used, *[f"shadow_{f}" for f in used]]
-        forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed + r)
-        importance = forest.fit(assemble_vector(shadowed, names)).featureImportances.toArray()
-        shadows = sorted(importance[len(used) :])
-        place = (len(shadows) - 1) * percentile / 100.0
-        lo = math.floor(place)
-        hi = min(lo + 1, len(shadows) - 1)
-        bar = shadows[lo] + (shadows[hi] - shadows[lo]) * (place - lo)
+        if table is not None:
+            x = table.x[:, [place[f] for f in used]]
+            both = T.table_of(np.hstack([x, x[T.permuted(np.arange(len(x)), len(x), seed + r)]]), table.y)
+            importance = T.forest_importance(spark, both, trees, depth, seed + r)
+        else:
+            shadowed = add_shadows(ranked.select("_at", label, *used), used, seed + r, id_col)
+            names = [*used, *[f"shadow_{f}" for f in used]]
+            forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed + r)
+            importance = forest.fit(assemble_vector(shadowed, names)).featureImportances.toArray()
+        bar = shadow_bar(importance[len(used) :], percentile)
+        if on_round:
+            on_round(r, used, importance[: len(used)], bar)
         for f, value in zip(used, importance):
             hits[f] += int(value > bar)
-        up = _passes_both_corrections({f: _upper_tail(hits[f], r) for f in open_features}, r, alpha)
-        down = _passes_both_corrections({f: _lower_tail(hits[f], r) for f in open_features}, r, alpha)
+        up, down = decide(open_features, hits, r, alpha)
         accepted += [f for f in open_features if f in up]
         open_features = [f for f in open_features if f not in up and f not in down]
     chosen = set(accepted) | (set(forced) & set(features))
@@ -164,6 +196,22 @@ def fit_tuned(estimator, grid: Mapping[str, Sequence], train: DataFrame, n_folds
     return best, params
 
 
+def fit_trees(train: DataFrame, features: Sequence[str], kind: str, grid: Mapping[str, Sequence], seed: int, n_folds: int, label: str = "label", id_col: str = "person_id"):
+    """Grid search over trees whose fits are dealt to tasks; None if the training table passes their bound.
+
+    The best mean accuracy over the ``fold`` column wins, the first cell of the grid on ties.
+    """
+    name = "numTrees" if kind == "RF" else "maxIter"
+    whole = {name: (20,), "maxDepth": (5,), "minInstancesPerNode": (1,)} | dict(grid)
+    table = T.gathered(train, features, label, id_col, max(whole[name]), "fold")
+    if table is None:
+        return None
+    cells = T.grid_accuracy(train.sparkSession, table, kind, whole, seed, n_folds)
+    best = max(range(len(cells)), key=lambda i: (-1.0 if cells[i][0] is None else round(cells[i][0], 9), -i))
+    params = cells[best][1]
+    return T.TreeModel(T.fitted_nodes(train.sparkSession, table, kind, params, seed), kind, features), params
+
+
 def make_estimator(kind: str, seed: int, label: str = "label"):
     if kind == "RF":
         return RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
@@ -175,6 +223,8 @@ def make_estimator(kind: str, seed: int, label: str = "label"):
 
 
 def score_rows(model, rows: DataFrame) -> DataFrame:
+    if isinstance(model, T.TreeModel):
+        return model.score(rows.withColumn("features", vector_to_array("features"))).withColumn("features", array_to_vector("features"))
     return model.transform(rows).withColumn("p_raw", vector_to_array("probability")[1])
 
 
@@ -223,6 +273,8 @@ def run_repeat(
         else:
             chosen = [f for f in kept if f in set(selected)]
         folded = folds(train_full.select(id_col, "seed", label, *chosen), s.n_folds, id_col, label)
+        grid = s.grid or DEFAULT_GRIDS[kind]
+        trees = fit_trees(folded, chosen, kind, grid, seed, s.n_folds, label, id_col) if kind in ("RF", "GBT") else None
         train_vec = assemble_vector(folded, chosen).select(label, "fold", "features")
         test_vec = assemble_vector(median_impute(test, medians, kept), chosen)
         if kind == "LR":
@@ -231,7 +283,7 @@ def run_repeat(
                 scaler.transform(v).drop("features").withColumnRenamed("scaled", "features") for v in (train_vec, test_vec)
             )
         train_vec = train_vec.persist()
-        model, params = fit_tuned(make_estimator(kind, seed, label), s.grid or DEFAULT_GRIDS[kind], train_vec, s.n_folds, s.parallelism, label)
+        model, params = trees or fit_tuned(make_estimator(kind, seed, label), grid, train_vec, s.n_folds, s.parallelism, label)
         scored = score_rows(model, test_vec).select(id_col, "seed", F.col(label).alias("y_true"), "p_raw", "features")
         # The predictions outlive the cached splits.
         scored = materialise(scored.withColumn("features", vector_to_array("features")), "predictions")
@@ -252,35 +304,65 @@ RESULT_SCHEMA = (
 )
 
 
+RUN_KEYS = ("config", "feature_window", "model", "iteration")
+
+
+def read_ledger(spark, path: str) -> DataFrame | None:
+    """The stored results of finished runs; None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder) or not len(system.listStatus(folder)):
+        return None
+    return spark.read.schema(RESULT_SCHEMA).parquet(path)
+
+
+def write_run(spark, path: str, row: Sequence) -> None:
+    """One finished run as a partition of its own: a single file, renamed into place when its job commits."""
+    key = dict(zip(RUN_KEYS, row))
+    place = "/".join(f"{k}={quote(str(v), safe='')}" for k, v in key.items())
+    fields = [f.strip() for f in RESULT_SCHEMA.split(",")]
+    literal_table(spark, [tuple(row[4:])], ", ".join(fields[4:])).coalesce(1).write.mode("overwrite").parquet(f"{path}/{place}")
+
+
 def run_repeats(
     matrices: Mapping[str, DataFrame], configs: Mapping[str, Sequence[str]], n_repeats: int, kinds: Iterable[str] = ("RF",),
-    settings: RepeatSettings | None = None, done: Iterable[tuple] = (), on_result=None, label: str = "label",
+    settings: RepeatSettings | None = None, done: Iterable[tuple] = (), on_result=None, label: str = "label", ledger: str | None = None, pool: int = 4,
 ) -> DataFrame:
-    """Driver loop over run keys (window, config, kind, iteration); every step is a Spark job.
+    """Runs of all keys (config, window, kind, iteration), ``pool`` at a time, each in a scheduler pool of its own.
 
-    Keys in ``done`` are skipped.  ``on_result`` receives each result, e.g. to write its predictions.
+    A finished run is written to the ``ledger`` folder at once (a new shared one by default); keys stored there, or in ``done``, are not run
+    again, so a killed call goes on where it stopped.  ``on_result`` receives each result, e.g. to write its predictions.  An
+    error of one key is raised after the keys under way have ended.  The driver holds the keys alone; the result is the ledger's rows of them.
     """
-    import json
-
-    finished = set(done)
-    rows = []
     spark = next(iter(matrices.values())).sparkSession
-    for window, matrix in matrices.items():
-        for config, features in configs.items():
-            for kind in kinds:
-                for i in range(n_repeats):
-                    if (config, window, kind, i) in finished:
-                        continue
-                    r = run_repeat(matrix, features, i, kind, settings, label=label)
-                    if on_result:
-                        on_result(window, config, r)
-                    rows.append(
-                        (
-                            config, window, kind, i, r.seed, r.auroc, r.auprc, r.n_features_before, r.n_features_filtered,
-                            r.n_features_selected, json.dumps(r.params, sort_keys=True), r.features,
-                        )
-                    )
-    return literal_table(spark, rows, RESULT_SCHEMA)
+    path = ledger or f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    keys = [(c, w, k, i) for w in matrices for c in configs for k in kinds for i in range(n_repeats)]
+    skipped = set(done)
+    grid = literal_table(spark, [k for k in keys if k not in skipped], "config STRING, feature_window STRING, model STRING, iteration INT")
+    pending = [tuple(r) for r in pending_runs(grid, read_ledger(spark, path), RUN_KEYS).orderBy(*RUN_KEYS).collect()]
+
+    def run(key: tuple) -> None:
+        config, window, kind, i = key
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{config}-{window}-{kind}-{i}")
+        r = run_repeat(matrices[window], configs[config], i, kind, settings, label=label)
+        if on_result:
+            on_result(window, config, r)
+        write_run(spark, path, (
+            config, window, kind, i, r.seed, r.auroc, r.auprc, r.n_features_before, r.n_features_filtered,
+            r.n_features_selected, json.dumps(r.params, sort_keys=True), r.features,
+        ))
+
+    with ThreadPoolExecutor(max(1, pool)) as workers:
+        running = [workers.submit(run, key) for key in pending]
+        try:
+            for one in running:
+                one.result()
+        except BaseException:
+            for one in running:
+                one.cancel()
+            raise
+    found = read_ledger(spark, path)
+    return spark.createDataFrame([], RESULT_SCHEMA) if found is None else found.join(grid, list(RUN_KEYS), "left_semi")
 
 
 # ------------------------------------------------------------------ importance
@@ -289,9 +371,9 @@ def run_repeats(
 def permutation_importance(result: RepeatResult, max_rows: int | None = None, id_col: str = "person_id") -> DataFrame:
     """Loss of AUROC over the test rows when one feature is permuted.
 
-    All features are scored in one pass: each row is repeated once per feature
-    with that entry taken from another row.  ``max_rows`` asks for a sample; by
-    default every test row is scored.
+    All features are scored in one pass, with the entry of one feature at a time taken from another row: trees walk
+    again only those that use it, other models score a copy of the row per feature.  ``max_rows`` asks for a
+    sample; by default every test row is scored.
     """
     hashed = with_hash(result.predictions.select(id_col, "seed", "y_true", "features"), id_col, "seed")
     if max_rows is not None:
@@ -302,10 +384,14 @@ def permutation_importance(result: RepeatResult, max_rows: int | None = None, id
     donors = rows.select("seed", (F.pmod(F.col("r") + F.lit(7), F.col("m")) + 1).alias("r"), F.col("x").alias("z"))
     both = rows.join(donors, ["seed", "r"])
     n = len(result.features)
-    each = both.select(
-        "seed", "y_true", "x", "z", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("j")
-    ).withColumn("v", F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("z", i)).otherwise(v)))
-    scored = score_rows(result.model, each.withColumn("features", array_to_vector("v")))
+    if isinstance(result.model, T.TreeModel):
+        swapped = result.model.score_swapped(both, "x", "z")
+        scored = swapped.select("seed", "y_true", F.posexplode("p_swapped").alias("j", "p_raw")).withColumn("j", F.col("j") - 1)
+    else:
+        each = both.select(
+            "seed", "y_true", "x", "z", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("j")
+        ).withColumn("v", F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("z", i)).otherwise(v)))
+        scored = score_rows(result.model, each.withColumn("features", array_to_vector("v")))
     metric = ranking_metrics(scored.select("seed", "j", "y_true", "p_raw"), ["seed", "j"])
     names = literal_table(rows.sparkSession, list(enumerate(result.features)), "j INT, feature STRING")
     base = metric.where("j = -1").select("seed", F.col("auroc").alias("base"))
