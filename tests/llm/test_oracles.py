@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.01"
 TABLES = ("documents", "pages", "benchmark")
 
 
-@pytest.mark.parametrize("name", ["op5_warc_salvage", "op6_minhash_join", "op7_fm_decontaminate"])
+@pytest.mark.parametrize("name", ["op5_warc_salvage", "op6_minhash_join", "op7_fm_decontaminate", "op11_partenum_spelling", "op13_bwt_phrases"])
 def test_queries_meet_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -42,7 +42,7 @@ def test_stages_in_order_and_whole(spark):
 
 def test_registered_queries(spark):
     names = driver.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(driver.oracle_sql()) <= set(names)
 
 
