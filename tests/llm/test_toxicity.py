@@ -77,3 +77,36 @@ def test_toxic_documents_go_with_all_columns_kept(frame, odd_rows, spark, corpus
     out = weak.drop_toxic(frame(rows), model)
     assert out.columns == frame(rows).columns
     assert sorted(map(repr, out.select("doc_id", "text").collect())) == sorted(map(repr, frame(odd_rows).select("doc_id", "text").collect()))
+
+
+def test_scores_do_not_grow_with_length(corpus, prose):
+    docs, labels = corpus
+    model = weak.fit(docs, labels)
+    clean = [prose(5000 + s, 60) for s in range(100)]
+    assert model.linear.score(" ".join(clean)) < 0.5 and model.linear.score("\n".join(clean[:30])) < 0.5
+    toxic = " ".join(c + " idiot zarkoff moron" for c in clean)
+    assert model.linear.score(toxic) > 0.5
+
+
+def test_voters_that_repeat_another_follow_it():
+    rng = np.random.default_rng(4)
+    y = rng.random(8000) < 0.2
+    votes = np.zeros((8000, 10), np.uint8)
+    for j, (hit, false) in enumerate([(0.5, 0.02), (0.5, 0.02), (0.4, 0.05)]):
+        votes[:, j] = np.where(rng.random(8000) < np.where(y, hit, false), weak.TOXIC, weak.ABSTAIN)
+    for j in (3, 4, 5):  # three echoes of the third
+        votes[:, j] = np.where(rng.random(8000) < 0.95, votes[:, 2], 0)
+    votes[:, 9] = np.where(rng.random(8000) < np.where(y, 0.02, 0.4), weak.CLEAN, 0)
+    model = weak.fit_label_model(votes)
+    assert {tuple(sorted((j, int(p)))) for j, p in enumerate(model.parent) if p >= 0} >= {(2, 3)} and sum(model.parent[j] >= 0 for j in (2, 3, 4, 5)) == 3
+    alone = np.zeros((1, 10), np.uint8)
+    alone[0, 2:6] = weak.TOXIC
+    two = np.zeros((1, 10), np.uint8)
+    two[0, :2] = weak.TOXIC
+    assert model.posterior(two)[0] > model.posterior(alone)[0]
+
+
+def test_disguised_words_vote():
+    voters = weak.Voters(())
+    at = voters.names.index("disguised")
+    assert voters.vote("you 1d1ot")[at] == weak.TOXIC and voters.vote("$tupid m0r0n")[at] == weak.TOXIC and voters.vote("room 101 b4 noon a1b2")[at] == weak.ABSTAIN
