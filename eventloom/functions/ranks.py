@@ -54,6 +54,23 @@ def running_totals(distinct: DataFrame, keys: Sequence[str], value: str, measure
     )
 
 
+def suffix_minima(distinct: DataFrame, keys: Sequence[str], value: str, measure: str, out: str) -> DataFrame:
+    """Add ``out``: the least ``measure`` over the rows of the group at or above the row's value, one row per (keys, value).
+
+    The least measure of every range is taken first; a row needs that of the higher ranges and a reverse pass over its own range.
+    """
+    keys = list(keys)
+    ranged = distinct.withColumn("_range", value_range(F.col(value).cast("double")))
+    lows = ranged.groupBy(*keys, "_range").agg(F.min(measure).alias("_low"))
+    higher = W.partitionBy(*keys).orderBy("_range").rowsBetween(1, W.unboundedFollowing)
+    borders = lows.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_at"), F.min("_low").over(higher).alias("_above"))
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    own = F.min(measure).over(W.partitionBy(*keys, "_range").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.join(borders, same).withColumn("_own", own).select(*distinct.columns, F.least("_own", "_above").alias(out))
+
+
 def range_splitters(rows: DataFrame, keys: Sequence[str], value: str, parts: int, per_part: int = 32) -> DataFrame:
     """(keys, ``_cuts``): ``parts - 1`` or fewer ascending values that cut each group into about equal parts.
 

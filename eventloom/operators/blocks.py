@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import inside_any
 from ..functions.predicates import any_of, ilike_any
 from ..functions.ranks import exact_quantiles
 from ..functions.skew import literal_table, lookup_join, salted_join
@@ -166,13 +167,12 @@ def class_composite(pairs: DataFrame, cohort: DataFrame, parts: Sequence[str], n
 
 
 def during_visits(rows: DataFrame, visits: DataFrame) -> DataFrame:
-    """Rows (person_id, event_date, ...) on a day of one of the person's visits.
+    """Rows (person_id, event_date, ...) on a day of one of the person's visits, each once.
 
-    A semi-join by person with the dates as its condition: no visit is unfolded into days, however late it ends.
+    Rows and visits meet by time buckets; no visit is unfolded into days.
     """
-    stays = visits.select(F.col("person_id").alias("_p"), F.col("event_date").alias("_from"), F.greatest("visit_end", "event_date").alias("_to"))
-    inside = (F.col("person_id") == F.col("_p")) & F.col("event_date").between(F.col("_from"), F.col("_to"))
-    return rows.join(stays, inside, "left_semi")
+    stays = visits.select("person_id", F.col("event_date").alias("_from"), F.greatest("visit_end", "event_date").alias("_to"))
+    return inside_any(rows, stays, ["person_id"], "event_date", "_from", "_to")
 
 
 def index_stays(visits: DataFrame, cohort: DataFrame, types: Sequence[int], before: int = 1, after: int = 16) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranks import exact_quantiles, running_totals
+from ..functions.ranks import exact_quantiles, running_totals, suffix_minima
 from ..functions.skew import literal_table
 from ..functions.stats import two_sided_p
 
@@ -71,13 +70,20 @@ def wilcoxon(diffs: DataFrame, keys: Sequence[str], value: str = "d", digits: in
 
 
 def benjamini_hochberg(rows: DataFrame, family: Sequence[str], p: str, out: str = "p_bh") -> DataFrame:
-    """Step-up adjusted p-values within each family (a family is one reported table)."""
-    by_p = W.partitionBy(*family).orderBy(p)
-    size = F.count(F.lit(1)).over(W.partitionBy(*family))
-    ranked = rows.withColumn("_rank", F.row_number().over(by_p)).withColumn("bh_group_size", size)
-    scaled = ranked.withColumn("_adj", F.col(p) * F.col("bh_group_size") / F.col("_rank"))
-    down = W.partitionBy(*family).orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0)
-    return scaled.withColumn(out, F.least(F.lit(1.0), F.min("_adj").over(down))).drop("_rank", "_adj")
+    """Step-up adjusted p-values within each family (a family is one reported table); a null p-value stays null and counts in no family.
+
+    Distinct p-values are ranked in value ranges and the running minimum from above is taken over ranges first, so a family of
+    any size is never ordered in one task.
+    """
+    family = list(family)
+    cells = rows.where(F.col(p).isNotNull()).groupBy(*family, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(cells, family, "_p", ["n"])
+    scaled = ranked.select(*family, "_p", F.col("n_total").alias("bh_group_size"), (F.col("_p") * F.col("n_total") / (F.col("n_before") + F.col("n"))).alias("_adj"))
+    least = suffix_minima(scaled, family, "_p", "_adj", "_least").select(*[F.col(f).alias(f"_f_{f}") for f in family], "_p", "bh_group_size", F.least(F.lit(1.0), F.col("_least")).alias(out))
+    on = F.col(p) == F.col("_p")
+    for f in family:
+        on = on & F.col(f).eqNullSafe(F.col(f"_f_{f}"))
+    return rows.join(least, on, "left").select(*rows.columns, "bh_group_size", out)
 
 
 def paired_tests(

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranks import exact_quantiles
-from ..functions.sampling import flag_first_k, with_hash
+from ..functions.sampling import cut_in_parts, flag_first_k, with_hash
 from ..functions.skew import literal_table
 from .assemble import to_long
 
@@ -67,9 +67,9 @@ def balance(train: DataFrame, id_col: str = "person_id", label: str = "label") -
 
 
 def folds(rows: DataFrame, n: int = 5, id_col: str = "person_id", label: str = "label") -> DataFrame:
-    """Stratified folds of each seed by hash; sizes are balanced in expectation."""
+    """Stratified folds of each seed and class by hash; their sizes differ by at most one."""
     key = F.md5(F.concat_ws(":", F.lit("f"), F.col(id_col).cast("string"), F.col("seed").cast("string"), F.col(label).cast("string")))
-    return rows.withColumn("fold", F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int"))
+    return cut_in_parts(rows.withColumn("_hash", key), ["seed", label], n, "fold", id_col=id_col).drop("_hash")
 
 
 def column_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import overlaps
+
 Window = tuple[int, int]
 
 _LABEL = re.compile(r"w(\d+)_(\d+)")
@@ -119,13 +121,9 @@ def in_person_window(events: DataFrame, cohort: DataFrame, start: str, end: str,
 def overlapping(intervals: DataFrame, cohort: DataFrame, start: Column, end: Column) -> DataFrame:
     """Visits whose [start, coalesce(end, start)] overlaps a person's own interval.
 
-    ``start`` and ``end`` are expressions over the cohort columns.
+    ``start`` and ``end`` are expressions over the cohort columns.  Rows meet by time buckets, so one person's visits are spread.
     """
     people = cohort.withColumn("_from", start).withColumn("_to", end)
-    last = F.coalesce("end_date", "event_date")
-    return (
-        intervals.withColumn("visit_end", last)
-        .join(people, "person_id")
-        .where((F.col("event_date") <= F.col("_to")) & (F.col("visit_end") >= F.col("_from")))
-        .drop("_from", "_to")
-    )
+    visits = intervals.withColumn("visit_end", F.coalesce("end_date", "event_date"))
+    met = overlaps(visits, people, ["person_id"], "event_date", "visit_end", "_from", "_to")
+    return met.drop("_from", "_to")

@@ -94,9 +94,11 @@ def median_impute(r):
 
 
 @query("folds", f"""
-    WITH g AS ({_GATED}) SELECT person_id, label, 42 AS seed, CAST(('0x' || substr(md5('f:' || person_id || ':42:' || label), 1, 8)) AS BIGINT) % 5 AS fold FROM g""")
+    WITH g AS ({_GATED}) SELECT person_id, label, seed, CAST(floor((row_number() OVER (PARTITION BY seed, label ORDER BY md5('f:' || person_id || ':' || seed || ':' || label), person_id) - 1) * 5
+        / count(*) OVER (PARTITION BY seed, label)) AS BIGINT) AS fold FROM g CROSS JOIN (SELECT 42 + 1000 * unnest(range(10)) AS seed)""")
 def folds(r):
-    return R.folds(_rows(r).withColumn("seed", F.lit(42)))
+    """Exact folds of the first ten of the repeats' seeds."""
+    return R.folds(R.with_seeds(_rows(r), R.seeds_of(10)))
 
 
 @query("count_guard", f"SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos FROM ({_GATED})")
