@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import exact_quantiles
 from ..functions.sampling import flag_first_k, with_hash, with_rank
 from ..functions.skew import literal_table
 from ..session import checkpoint_dir, materialise
@@ -121,6 +122,17 @@ def shadow_bar(shadows: Sequence[float], percentile: float) -> float:
     return float(np.percentile(np.asarray(shadows, float), percentile))
 
 
+def shadow_hits(importances: DataFrame, percentile: float = 97.0) -> DataFrame:
+    """(feature, rounds, hits) of a stored history of rounds: (round, feature, importance, shadow).
+
+    A round's bar is the percentile of its shadows' importances; a feature hits if its own exceeds it.
+    """
+    bars = exact_quantiles(importances, ["round"], "shadow", {"bar": percentile / 100.0}).drop("n_values")
+    return importances.join(bars, "round").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("rounds"), F.count_if(F.col("importance") > F.col("bar")).alias("hits")
+    )
+
+
 def shadow_select(
     train: DataFrame, features: Sequence[str], seed: int, rounds: int = 50, trees: int = 500, percentile: float = 97.0,
     forced: Sequence[str] = (), depth: int = 7, alpha: float = 0.05, label: str = "label", id_col: str = "person_id", on_round=None,

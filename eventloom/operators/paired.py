@@ -101,6 +101,30 @@ def paired_tests(
     return out.withColumn("sig_bh", (F.col("p_bh") < 0.05).cast("int"))
 
 
+def compare_estimators(first: DataFrame, second: DataFrame, metrics: Sequence[str] = ("auroc", "auprc")) -> DataFrame:
+    """Two estimators on shared splits: per config, window and metric the paired differences second - first.
+
+    Repeats are joined by iteration; seeds that differ raise, as the splits would.  Quartiles, the share of
+    repeats in which the second wins, the signed-rank p-value and its step-up adjustment over the table of a metric.
+    """
+    key = ["config", "feature_window", "iteration", "metric"]
+    a = metric_rows(first, metrics).withColumnsRenamed({"score": "_a", "seed": "_seed_a"})
+    b = metric_rows(second, metrics).withColumnsRenamed({"score": "_b", "seed": "_seed_b"})
+    both = a.join(b, key)
+    if "_seed_a" in a.columns and "_seed_b" in b.columns:
+        bad = both.where("_seed_a <> _seed_b").limit(5).collect()
+        if bad:
+            raise ValueError(f"seeds differ at iterations {[r.iteration for r in bad]}")
+    diffs = both.select(*key, "_a", "_b", (F.col("_b") - F.col("_a")).alias("d")).where("d IS NOT NULL")
+    group = ["metric", "config", "feature_window"]
+    spread = exact_quantiles(diffs, group, "d", {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnRenamed("n_values", "n_pairs")
+    share = diffs.groupBy(*group).agg(
+        F.avg("_a").alias("mean_first"), F.avg("_b").alias("mean_second"), F.avg((F.col("d") > 0).cast("double")).alias("share_positive")
+    )
+    tested = wilcoxon(diffs, group).select(*group, F.col("p_value").alias("p_wilcoxon"))
+    return benjamini_hochberg(spread.join(share, group).join(tested, group), ["metric"], "p_wilcoxon")
+
+
 def compare_to_expected(tests: DataFrame, expected: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = 5e-4) -> DataFrame:
     """Expected values next to the found ones; ``n_off`` counts those beyond the tolerance."""
     renamed = expected.select(*keys, *[F.col(v).alias(f"expected_{v}") for v in values])

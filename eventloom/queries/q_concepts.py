@@ -131,13 +131,13 @@ def top_unmapped(r):
 
 
 @query("routing_check", """
-    WITH p AS (SELECT DISTINCT 'BRAND' AS indicator, p_partkey AS concept_id FROM part WHERE p_brand = 'Brand#1'),
+    WITH p AS (SELECT DISTINCT p_brand AS indicator, p_partkey AS concept_id FROM part),
     t AS (SELECT concept_id, string_agg(term_id, '; ' ORDER BY term_id) AS terms, max(CASE WHEN term_id IN ('HP:0000003', 'HP:0000008') THEN 1 ELSE 0 END) AS hit
           FROM (SELECT DISTINCT concept_id, term_id FROM ontology) GROUP BY 1)
-    SELECT indicator, p.concept_id, 'immuno' AS mechanism, coalesce(terms, '') AS terms, 'HP:0000003; HP:0000008' AS expected, coalesce(hit, 0) AS direct_match
+    SELECT p.indicator, p.concept_id, 'immuno' AS mechanism, coalesce(terms, '') AS terms, 'HP:0000003; HP:0000008' AS expected, coalesce(hit, 0) AS direct_match
     FROM p LEFT JOIN t USING (concept_id)""")
 def routing_check(r):
-    pairs = r.table("part").where("p_brand = 'Brand#1'").select(F.lit("BRAND").alias("indicator"), F.col("p_partkey").alias("concept_id"))
+    pairs = r.table("part").select(F.col("p_brand").alias("indicator"), F.col("p_partkey").alias("concept_id"))
     return K.cross_check_routing(pairs, K.load_ontology_map(r.ontology_raw, K.TRUSTED), ["HP:0000008", "HP:0000003"], "immuno")
 
 

@@ -28,11 +28,11 @@ def _rows(r):
 
 
 @query("repeat_seeds", """
-    SELECT CAST(i AS BIGINT) AS iteration, 42 + 1000 * i AS seed, n FROM (SELECT unnest(range(3)) AS i)
+    SELECT CAST(i AS BIGINT) AS iteration, 42 + 1000 * i AS seed, n FROM (SELECT unnest(range(100)) AS i)
     JOIN (SELECT iteration, count(*) AS n FROM results GROUP BY 1) ON iteration = i""")
 def repeat_seeds(r):
     counts = r.results.groupBy("iteration").agg(F.count(F.lit(1)).alias("n"))
-    return R.repeat_seeds(r.spark, 3).join(counts, "iteration")
+    return R.repeat_seeds(r.spark, 100).join(counts, "iteration")
 
 
 _SPLIT = f"""
@@ -392,6 +392,30 @@ def estimator_comparison(r):
     return P.compare_to_expected(med, expected, ["config", "feature_window"], ["median"], 4e-4)
 
 
+def second_estimator(r):
+    """The scores that another statistic of the same events gives on the same repeats."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    iteration = F.col("user_id") % 100
+    return r.table("events").groupBy(
+        F.col("event_type").alias("config"), F.concat(F.lit("w"), (k % 6).cast("string")).alias("feature_window"), iteration.alias("iteration"), (F.lit(42) + iteration * 1000).alias("seed")
+    ).agg((F.min("value") / 499).alias("auroc"), (F.max("value") / 499 - F.avg("value") / 997).alias("auprc"))
+
+
+_SECOND = """
+    s AS (SELECT event_type AS config, 'w' || (k % 6) AS feature_window, user_id % 100 AS iteration, min(value) / 499 AS auroc, max(value) / 499 - avg(value) / 997 AS auprc
+          FROM (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events) GROUP BY 1, 2, 3),
+    d AS (SELECT m AS metric, a.config, a.feature_window, CASE m WHEN 'auroc' THEN a.auroc ELSE a.auprc END AS x, CASE m WHEN 'auroc' THEN s.auroc ELSE s.auprc END AS y
+          FROM results a JOIN s ON s.config = a.config AND s.feature_window = a.feature_window AND s.iteration = a.iteration CROSS JOIN (VALUES ('auroc'), ('auprc')) v(m))"""
+
+
+@query("estimators_on_shared_splits", f"""
+    WITH {_SECOND} SELECT metric, config, feature_window, count(*) AS n_pairs, round(quantile_cont(y - x, 0.25), 6) AS q1, round(median(y - x), 6) AS median, round(quantile_cont(y - x, 0.75), 6) AS q3,
+           round(avg(x), 6) AS mean_first, round(avg(y), 6) AS mean_second, round(avg(CASE WHEN y - x > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_positive, count(*) OVER (PARTITION BY metric) AS bh_group_size
+    FROM d WHERE y - x IS NOT NULL GROUP BY 1, 2, 3""")
+def estimators_on_shared_splits(r):
+    return P.compare_estimators(r.results, second_estimator(r)).drop("p_wilcoxon", "p_bh")
+
+
 # ------------------------------------------------------------------ reports
 
 

@@ -149,6 +149,18 @@ def meas_elev_episodes_gap(r):
     return stream_hits(r, IndicatorSpec("M", "MEAS_ELEV_EPISODES_GAP", ids(ERROR), gap=3, min_n=2))
 
 
+@query("episodes_in_long_windows", """
+    WITH e AS (SELECT person_id, win, event_date, lag(event_date) OVER (PARTITION BY person_id, win ORDER BY event_date) AS prev
+               FROM s_evw JOIN (SELECT DISTINCT win AS w, w_end - w_start AS size FROM s_win) ON w = win WHERE size >= 10 AND concept_id = 4 AND value IS NOT NULL AND (value > range_high OR range_high IS NULL))
+    SELECT person_id, win, 'M' AS indicator FROM e GROUP BY 1, 2 HAVING sum(CASE WHEN prev IS NULL OR event_date >= prev + 3 THEN 1 ELSE 0 END) >= 2
+    UNION ALL SELECT DISTINCT person_id, win, 'ANY' FROM s_evw WHERE concept_id = 4 AND (value IS NOT NULL OR value_concept_id IS NOT NULL)""")
+def episodes_in_long_windows(r):
+    """Elevated episodes are not asked for in windows below the least length (60 days of a 90-day domain, 10 of this one); other kinds are."""
+    specs = [IndicatorSpec("M", "MEAS_ELEV_EPISODES_GAP", ids(ERROR), gap=3, min_n=2), IndicatorSpec("ANY", "MEAS_ANY_RECORDED", ids(ERROR), any_value=True)]
+    hits = indicator_hits(r.stream, r.stream_cohort, STREAM_WINDOWS, specs, r.stream_vocabulary, min_episode_window=10)
+    return hits.withColumnRenamed("window", "win")
+
+
 @query("meas_persistent_positivity", f"""
     WITH d AS (SELECT person_id, win, event_date, event_id, day_in, {_DECODE} AS is_pos FROM s_evw WHERE concept_id IN (1, 4)),
     o AS (SELECT *, sum(CASE WHEN is_pos = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id, win ORDER BY event_date, is_pos, event_id ROWS UNBOUNDED PRECEDING) AS run
