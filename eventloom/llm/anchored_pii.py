@@ -6,6 +6,8 @@ identifier.  Each anchor is handed to a deterministic parser that looks at its s
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -119,13 +121,27 @@ def iban_ok(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+#: Signs that may stand between two characters of an account number, and the most characters it has.
+GAP, IBAN_MOST = 4, 34
+
+
 def account_after(text: str, at: int) -> tuple[int, int] | None:
-    """A checked account number after a cue: an IBAN with a right remainder, or a three-two-four digit number."""
+    """A checked account number after a cue: an IBAN with a right remainder, or a three-two-four digit number.
+
+    Between two characters of an IBAN stand up to GAP blanks or hyphens; a wider gap ends it.
+    """
     at = run_right(text, at, frozenset(" :#.=")) if at < len(text) else at
-    end = run_right(text, at, ALNUM | frozenset(" -"))
-    chars = [(i, c) for i, c in enumerate(text[at : min(end, at + 60)], at) if c in ALNUM]
+    chars: list[tuple[int, str]] = []
+    for i in range(at, len(text)):
+        c = text[i]
+        if c in ALNUM:
+            chars.append((i, c))
+            if len(chars) == IBAN_MOST:
+                break
+        elif c not in " -" or not chars or i - chars[-1][0] > GAP:
+            break
     plain = "".join(c for _, c in chars).upper()
-    for size in range(min(34, len(plain)), 14, -1):
+    for size in range(len(plain), 14, -1):
         if iban_ok(plain[:size]):
             return at, chars[size - 1][0] + 1
     piece = text[at : at + 11]
@@ -134,23 +150,45 @@ def account_after(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def address_after(text: str, at: int, begin: int) -> tuple[int, int] | None:
-    """The rest of an address that holds a login (user@ or user:word@) or a number (tel:); plain links are no personal data."""
-    end = at
-    while end < len(text) and text[end] > " " and text[end] not in "<>\"'":
-        end += 1
-    body = text[at:end].rstrip(".,;:!?)")
-    if text[begin:at].lower() == "tel:":
-        return (begin, at + len(body)) if 7 <= sum(c in DIGITS for c in body) <= 15 else None
-    head = body.split("/", 1)[0]
-    user, sign, host = head.rpartition("@")
-    return (begin, at + len(body)) if sign and user and "." in host else None
+class Addresses:
+    """The rest of an address after its scheme; what is known of a run of signs is kept, so that many schemes in one run cost no more."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.end = self.body = -1
+        self.head = -1
+        self.sign = -1
+        self.dotted = False
+        self.digits: list[int] = []
+
+    def _at(self, at: int) -> None:
+        text = self.text
+        if at > self.end or self.end < 0:
+            stop = re.compile(r"[\x00-\x20<>\"']").search(text, at)
+            self.end = stop.start() if stop else len(text)
+            self.body = at + len(text[at : self.end].rstrip(".,;:!?)"))
+            self.head = -1
+            self.digits = [m.start() for m in re.compile("[0-9]").finditer(text, at, self.body)]
+        if self.head < at:
+            slash = text.find("/", at, self.body)
+            self.head = slash if slash >= 0 else self.body
+            self.sign = text.rfind("@", at, self.head)
+            self.dotted = self.sign >= 0 and text.find(".", self.sign + 1, self.head) >= 0
+
+    def after(self, at: int, begin: int) -> tuple[int, int] | None:
+        """An address that holds a login (user@ or user:word@) or a number (tel:); plain links are no personal data."""
+        self._at(at)
+        if self.body < at:
+            return None
+        if self.text[begin:at].lower() == "tel:":
+            return (begin, self.body) if 7 <= len(self.digits) - bisect.bisect_left(self.digits, at) <= 15 else None
+        return (begin, self.body) if self.sign > at and self.dotted else None
 
 
 def find_spans(text: str, anchors) -> list[Span]:
     """All spans of a text; a kind's matches are leftmost and do not overlap, failing ones are passed over whole."""
     out: list[Span] = []
-    floor = dict.fromkeys(KINDS, 0)
+    floor, addresses = dict.fromkeys(KINDS, 0), Addresses(text)
 
     def take(kind: str, got: tuple[int, int, bool] | None) -> None:
         if got:
@@ -177,7 +215,7 @@ def find_spans(text: str, anchors) -> list[Span]:
             if first >= floor["ip"] and (fresh or first == floor["ip"]):
                 take("ip", ip_at(text, first))
         elif kind == "scheme":
-            got = address_after(text, last + 1, first)
+            got = addresses.after(last + 1, first)
             if got and first >= floor["address"]:
                 take("address", (*got, True))
         elif first >= floor["account"] and (got := account_after(text, last + 1)):
