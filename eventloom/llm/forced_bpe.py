@@ -7,6 +7,7 @@ is a certain cut.  Words are cut there, the fragments are encoded on their own a
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -20,6 +21,8 @@ from eventloom.llm.common import map_texts
 BLANK = r"\t-\r\x20\x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+"
 NEVER = 1 << 60
+#: Symbols of a fragment from which on a heap finds the next merge.
+LONG = 64
 
 
 def byte_symbols() -> list[str]:
@@ -102,6 +105,8 @@ class ForcedBpe:
 
     def merge(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
         """Merge the leftmost pair of the lowest rank until none is left."""
+        if len(fragment) > LONG:
+            return self.merge_long(fragment)
         rank = self.rank.get
         ids = list(fragment)
         ranks = [rank(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
@@ -118,6 +123,27 @@ class ForcedBpe:
                 ranks[at] = rank(ids[at] << 20 | ids[at + 1], NEVER)
         return tuple(ids)
 
+    def merge_long(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
+        """The same merges for a long fragment: a heap of (rank, place) over a linked list of symbols."""
+        rank, n = self.rank.get, len(fragment)
+        ids, after, before = list(fragment), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := rank(a << 20 | b, NEVER)) != NEVER]
+        heapq.heapify(heap)
+        while heap:
+            r, at = heapq.heappop(heap)
+            right = after[at]
+            if ids[at] < 0 or right >= n or rank(ids[at] << 20 | ids[right], NEVER) != r:
+                continue  # one of the two has been merged since
+            ids[at], ids[right] = self.merged[r], -1
+            after[at] = right = after[right]
+            if right < n:
+                before[right] = at
+                if (r := rank(ids[at] << 20 | ids[right], NEVER)) != NEVER:
+                    heapq.heappush(heap, (r, at))
+            if (left := before[at]) >= 0 and (r := rank(ids[left] << 20 | ids[at], NEVER)) != NEVER:
+                heapq.heappush(heap, (r, left))
+        return tuple([i for i in ids if i >= 0])
+
     def encode_piece(self, piece: str) -> tuple[str, int, str, tuple[int, ...]]:
         parts = list(self.fragments(piece.encode("utf-8", "surrogatepass")))
         # a word without a cut is kept in the words' memo only
