@@ -21,6 +21,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(names: Iterable[str], stem: str) -> str:
+    """A column name that is not among the given ones, in any case."""
+    taken = {n.lower() for n in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage."""
     path = shared_path(df.sparkSession, name)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import checked_broadcast, freeing, map_texts, ship, stored
+from eventloom.llm.common import checked_broadcast, freeing, map_texts, ship, stored, unused
 from eventloom.llm.fm_index import FmIndex
 
 WINDOW = 13
@@ -38,13 +38,13 @@ def windows_of(text: str | None, size: int = WINDOW) -> list[bytes]:
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """Distinct (phrase, item)."""
+    """Distinct (phrase, item); an item without an id has windows too."""
 
     def start():
         return lambda value: (list(dict.fromkeys(windows_of(value, size))),)
 
     found = map_texts(benchmark, [item_id], text, "phrases array<binary>", start)
-    return found.select(F.explode("phrases").alias("phrase"), F.col(f"`{item_id}`").cast("string").alias("item")).where("item is not null").distinct()
+    return found.select(F.explode("phrases").alias("phrase"), F.col(f"`{item_id}`").cast("string").alias("item")).distinct()
 
 
 def window_blocks(windows: DataFrame, blocks: int) -> DataFrame:
@@ -134,7 +134,7 @@ def search_block(phrases: list[bytes], items: list[list[str]], index: FmIndex, l
             t = int(np.searchsorted(index.starts, s, side="right") - 1)
             found[t][0].append((int(s - index.starts[t]), int(e - index.starts[t])))
         for t, p in np.concatenate(pairs, axis=1).T:
-            found[t][1].update(items[p])
+            found[t][1].update([i for i in items[p] if i is not None])
     return [(spans, sorted(names)) for spans, names in found]
 
 
@@ -155,7 +155,7 @@ def find_contamination(
     """Per document: ``n_words``, ``n_hit`` (words inside occurrences), ``items``, ``spans`` (of words, merged), ``contaminated``.
 
     A text is contaminated if a word is hit and ``share * n_hit >= n_words``.  Null and empty texts have no words and
-    are clean; items without words or id are never found; an empty benchmark finds nothing and an empty table of
+    are clean; items without words are never found, those without an id hit but are not listed; an empty benchmark finds nothing and an empty table of
     documents gives no rows.  Repeated rows repeat; items that repeat count once by id.  Other columns are not read.
     """
     keys = [doc_id, *also]
@@ -209,10 +209,10 @@ def find_contamination(
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents that are not contaminated, with all their columns; rows with equal id and text share their fate."""
-    mark = "__seal"
+    mark = unused(documents.columns, "__seal")
     keyed = documents.withColumn(mark, F.md5(F.col(f"`{text}`").cast("binary")))
     found = find_contamination(keyed, benchmark, doc_id, text, also=[mark], **settings)
-    gone = stored(found.where("contaminated").select(F.col(f"`{doc_id}`").alias("__id"), F.col(mark).alias("__mark")).distinct(), "contaminated")
+    gone = stored(found.where("contaminated").select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{mark}`").alias("__mark")).distinct(), "contaminated")
     same = keyed[doc_id].eqNullSafe(F.col("__id")) & keyed[mark].eqNullSafe(F.col("__mark"))
     return keyed.join(checked_broadcast(gone), same, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import checked_broadcast, freeing, map_texts, ship, stored
+from eventloom.llm.common import checked_broadcast, freeing, map_texts, ship, stored, unused
 
 
 @dataclass(frozen=True)
@@ -357,7 +357,7 @@ def drop_near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str
 
     Of rows that repeat id and text one stays.  Texts without words stay.
     """
-    mark = "__seal"
+    mark = unused(documents.columns, "__seal")
     keyed = documents.withColumn(mark, F.md5(F.col(f"`{text}`").cast("binary")))
     found = near_duplicates(keyed, doc_id, text, spec, [mark])
     decided = stored(

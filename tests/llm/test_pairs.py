@@ -115,16 +115,15 @@ def test_search_and_locate_meet_scanning():
 def plain_contamination(rows, items, window=13):
     wins = defaultdict(set)
     for item, text in items:
-        if item is not None:
-            for w in decontaminate.windows_of(text, window):
-                wins[tuple(w.split(b" "))].add(str(item))
+        for w in decontaminate.windows_of(text, window):
+            wins[tuple(w.split(b" "))].update([] if item is None else [str(item)])
     out = []
     for i, text in rows:
         words = decontaminate.words_of(text)
         hit, names = set(), set()
         for size in {len(w) for w in wins}:
             for k in range(len(words) - size + 1):
-                if found := wins.get(tuple(words[k : k + size])):
+                if (found := wins.get(tuple(words[k : k + size]))) is not None:
                     hit.update(range(k, k + size))
                     names |= found
         out.append((i, len(words), len(hit), sorted(names), bool(hit) and 20 * len(hit) >= len(words)))
@@ -134,7 +133,7 @@ def plain_contamination(rows, items, window=13):
 @pytest.fixture
 def contaminated(prose, odd_rows):
     items = [(i, prose(500 + i, 14 + i)) for i in range(8)] + [(8, "Short Item"), (9, None), (10, "..."), (None, prose(600, 20)), (11, prose(500, 14)), (11, prose(500, 14))]
-    rows = [*odd_rows, *[(20 + s, prose(s, 40) + " " + prose(500 + s % 8, 14 + s % 8).upper() + "! " + prose(s, 30 + 60 * s)) for s in range(12)], (50, "a short-item b"), (51, "short\nITEM"), (52, prose(503, 17) + " " + prose(503, 17))]
+    rows = [*odd_rows, *[(20 + s, prose(s, 40) + " " + prose(500 + s % 8, 14 + s % 8).upper() + "! " + prose(s, 30 + 60 * s)) for s in range(12)], (50, "a short-item b"), (51, "short\nITEM"), (52, prose(503, 17) + " " + prose(503, 17)), (53, prose(600, 20))]
     return rows, items
 
 
@@ -178,3 +177,11 @@ def test_empty_tables(spark, frame, odd_rows):
 def test_spans_are_cut_out():
     assert decontaminate.without_spans("Keep this, but Not these WORDS here.", [(3, 6)]) == "Keep this, but  here."
     assert decontaminate.without_spans(None, []) is None
+
+
+def test_columns_named_like_the_seal_are_kept(spark, prose):
+    rows = [(1, prose(1, 40), "mine"), (2, prose(1, 40), "mine"), (3, prose(2, 40), None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, __seal STRING")
+    bench = spark.createDataFrame([("a", prose(2, 40))], "item_id STRING, text STRING")
+    assert sorted(map(tuple, decontaminate.drop_contaminated(docs, bench).collect())) == rows[:2]
+    assert sorted(map(tuple, minhash_join.drop_near_duplicates(docs).collect())) == [rows[0], rows[2]]

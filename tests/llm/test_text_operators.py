@@ -280,3 +280,60 @@ def test_pages_on_odd_rows(spark):
     out = block_rules.extract_pages(pages).collect()
     assert sorted(r.n_chars for r in out)[:3] == [0, 0, 0] and max(r.n_chars for r in out) == 499_999 and len(out) == 5
     assert block_rules.extract_pages(pages.limit(0)).count() == 0
+
+
+# ---- very long bad patterns take linear time
+
+
+def test_long_fragments_merge_like_short_ones():
+    bpe = forced_bpe.ForcedBpe(forced_bpe.tokenizer_path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    for _ in range(60):
+        word = "".join(rng.choice(rng.choice(["a", "ab", "the", "inger"])) for _ in range(rng.randint(65, 400)))
+        for part in bpe.fragments(word.encode()):
+            limit, forced_bpe.LONG = forced_bpe.LONG, 1 << 60
+            want = bpe.merge(part)
+            forced_bpe.LONG = 1
+            got = bpe.merge(part)
+            forced_bpe.LONG = limit
+            assert got == want
+    began = time.perf_counter()
+    assert len(bpe.encode("a" * 1_000_000)) > 1
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("pattern", ["account ", "mailto:", "tel:", "iban" + " " * 40, "a@", "+1", "1.", "1 ", "http://a", "acct-", "mailto:a@b", "tel:1"])
+def test_cues_without_end_take_linear_time(pattern):
+    anchors = anchored_pii.automaton()
+    began = time.perf_counter()
+    anchored_pii.find_spans(pattern * (1_000_000 // len(pattern)), anchors)
+    assert time.perf_counter() - began < 10
+
+
+def plain_address(text, at, begin):
+    end = at
+    while end < len(text) and text[end] > " " and text[end] not in "<>\"'":
+        end += 1
+    body = text[at:end].rstrip(".,;:!?)")
+    if text[begin:at].lower() == "tel:":
+        return (begin, at + len(body)) if 7 <= sum(c in "0123456789" for c in body) <= 15 else None
+    user, sign, host = body.split("/", 1)[0].rpartition("@")
+    return (begin, at + len(body)) if sign and user and "." in host else None
+
+
+def test_addresses_meet_a_plain_parser():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(["mailto:", "tel:", "http://", "a", "@", ".b", "/", "1234", " ", "<", ".,", "\n", ")"]) for _ in range(rng.randint(1, 25)))
+        known = anchored_pii.Addresses(text)
+        for m in re.finditer("mailto:|tel:|http://", text):
+            assert known.after(m.end(), m.start()) == plain_address(text, m.end(), m.start()), text
+
+
+def test_accounts_may_have_wide_gaps():
+    anchors = anchored_pii.automaton()
+    number = "DE89 3704 0044 0532 0130 00"
+    for gap in (" ", "  ", " -  "):
+        text = "IBAN: " + number.replace(" ", gap)
+        assert [s[2] for s in anchored_pii.find_spans(text, anchors) if s[2] == "account"] == ["account"], gap
+    assert not [s for s in anchored_pii.find_spans("IBAN: " + number.replace(" ", "        "), anchors) if s[2] == "account"]
