@@ -38,24 +38,40 @@ def to_wide(long: DataFrame, features: Sequence[str], id_cols: Sequence[str] = (
     return out
 
 
+def _entries(block: DataFrame, places: Mapping[str, int], zero: set[str]) -> DataFrame:
+    """(person_id, ``_e``): a block's row as the places and values of what is neither missing nor a filled 0."""
+    cells = []
+    for c in block.columns:
+        if c != "person_id":
+            value = F.col(f"`{c}`").cast("double")
+            told = value.isNotNull() & (value != 0) if c in zero else value.isNotNull()
+            cells.append(F.when(told, F.struct(F.lit(places[c]).alias("i"), value.alias("v"))))
+    empty = F.array().cast("array<struct<i:int,v:double>>")
+    return block.select("person_id", (F.array_compact(F.array(*cells)) if cells else empty).alias("_e"))
+
+
 def join_blocks(cohort: DataFrame, blocks: Sequence[DataFrame], zero: Iterable[str] = ()) -> DataFrame:
     """One row per cohort member with the columns of all blocks, each in its own type.
 
-    All blocks go through one union and one pivot instead of a join per block.
-    ``zero`` names the columns whose missing values mean 0: of these only other
-    values travel, so dense flags do not become persons x columns rows.
+    A block's row travels as one sparse list, so the exchange holds persons x blocks rows, whatever the number of
+    columns; the lists of a person are put together in one aggregation and read out by a typed projection.  ``zero`` names
+    the columns whose missing values mean 0.  A block has one row per person; of blocks that share a column the first value in order of the blocks counts.
     """
     zero = set(zero)
     types = {f.name: f.dataType for b in blocks for f in b.schema.fields if f.name != "person_id"}
-    long = None
-    for b in blocks:
-        part = to_long(b)
-        long = part if long is None else long.unionByName(part)
-    told = F.col("value").isNotNull()
-    if zero:
-        told = told & ((F.col("value") != 0) | ~F.col("feature").isin(*sorted(zero)))
-    wide = to_wide(long.where(told), list(types))
-    typed = wide.select("person_id", *[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
+    places = {c: i for i, c in enumerate(types)}
+    rows = None
+    for number, b in enumerate(blocks):
+        part = _entries(b, places, zero).select("person_id", F.lit(number).alias("_b"), "_e")
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return cohort.select("person_id")
+    # as many rows a person as there are blocks
+    lists = rows.groupBy("person_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_e"))), lambda x: x["_e"])).alias("_e"))
+    shared = sum(len(b.columns) - 1 for b in blocks) > len(types)
+    once = F.filter("_e", lambda x, k: F.array_position(F.transform("_e", lambda y: y["i"]), x["i"]) == k + 1) if shared else F.col("_e")
+    sparse = lists.select("person_id", F.map_from_entries(once).alias("_m"))
+    typed = sparse.select("person_id", *[F.element_at("_m", F.lit(i)).cast(types[c]).alias(c) for c, i in places.items()])
     full = cohort.select("person_id").join(typed, "person_id", "left")
     return zero_fill(full, zero)
 

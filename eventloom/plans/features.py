@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import blocks as B
 from ..operators.assemble import join_blocks, to_numeric
@@ -113,7 +115,8 @@ def assemble_baseline(cohort: DataFrame, groups: Mapping[str, Sequence[DataFrame
     blocks = [b for many in groups.values() for b in many]
     columns = [c for cols in families.values() for c in cols]
     matrix = join_blocks(cohort, blocks, [c for c in columns if not c.startswith(NUMERIC_PREFIXES)])
-    return matrix.select("person_id", *[to_numeric(f"`{c}`").alias(c) for c in columns]), families
+    texts = {f.name for f in matrix.schema.fields if isinstance(f.dataType, T.StringType)}
+    return matrix.select("person_id", *[to_numeric(f"`{c}`").alias(c) if c in texts else F.col(f"`{c}`") for c in columns]), families
 
 
 def baseline_matrix(
