@@ -57,7 +57,8 @@ def test_the_prior_is_found():
         assert abs(found - prior) < 0.08
         w, b = quality.fit_nonnegative(rows(True, 3000), u, 20, found)
         good, bad = rows(True, 1000), rows(False, 1000)
-        assert np.mean(w[good].sum(axis=1) + b > 0) > 0.9 and np.mean(w[bad].sum(axis=1) + b < 0) > 0.7
+        # a sixth of the good and a fifth of the bad rows lie in a bin that both have; the prior decides it
+        assert np.mean(w[good].sum(axis=1) + b > 0) > 0.8 and np.mean(w[bad].sum(axis=1) + b < 0) > 0.7
 
 
 def test_scores_do_not_grow_with_length(corpus, prose):
