@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +31,34 @@ def unused(names: Iterable[str], stem: str) -> str:
     return stem
 
 
+#: Paths of the tables written since the innermost :func:`discarding` began; None outside of one.
+_written: list[str] | None = None
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that :func:`stored` writes inside of it when it ends, and lets Spark drop the shuffle files behind them.
+
+    Whatever is computed from them must be written before that.
+    """
+    global _written
+    outer, _written = _written, []
+    try:
+        yield
+    finally:
+        mine, _written = _written, outer
+        for path in mine:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage."""
     path = shared_path(df.sparkSession, name)
+    if _written is not None:
+        _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -70,7 +97,6 @@ def ship(spark: SparkSession) -> None:
 def release() -> None:
     """Give memory that a task no longer uses back to the system; workers live on for other tasks."""
     import ctypes
-    import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -7,9 +7,10 @@ long lists at its far end are skipped; the collisions of a pair met there are th
 
 A list is not expanded into all its pairs.  Each member meets the list's centre, the member whose coordinates are the
 most common, and links are confirmed on the full sets of words.  Members of one list that are still in different
-components meet each other only if their sets can reach the similarity: two sets near a common centre differ from it
-by nearly the same shingles, which a prefix join without a loss finds (:func:`near_pairs`); any other two meet only
-if their signatures, compared by a few bits of each coordinate, leave enough collisions possible (:func:`far_pairs`).
+components meet each other only if their sets can reach the similarity: two sets that share a centre differ from it
+by nearly the same shingles, which a prefix join without a loss finds (:func:`near_pairs`); any other two meet once,
+in the first list they share, and only if their signatures, compared by a few bits of each coordinate, leave enough
+collisions possible (:func:`far_pairs`).  Texts are compared for pairs with enough counted collisions alone.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import checked_broadcast, freeing, map_texts, ship, stored, unused
@@ -157,42 +158,57 @@ def prefix_postings(classes: DataFrame, spec: Spec) -> DataFrame:
     return rare.where(room > 0).select("cls", common.alias("common"), F.explode(F.slice("list", F.lit(1), room)).alias("p")).select("cls", F.col("p.token").alias("token"), "common")
 
 
-def collisions(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the number of equal coordinates."""
-    left = classes.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-    right = classes.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("m"))
+def both_sides(pairs: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Stored pairs (a, b) with the columns of either class, ``a_`` and ``b_`` before their names.
+
+    Each side is fetched by itself and the two meet on the pair, so a class with many partners stays spread over tasks.
+    """
+    short = checked_broadcast(pairs.select("a", "b"))
+    sides = [short.join(table.select(F.col("cls").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in columns]), k) for k in ("a", "b")]
+    return sides[0].join(sides[1], ["a", "b"])
+
+
+def colliding(pairs: DataFrame, classes: DataFrame, least: int, spec: Spec) -> DataFrame:
+    """Distinct pairs (a, b) with the number m of equal coordinates, if ``least`` or more; their marks rule most others out first."""
+    marks = classes.select("cls", "marks")
+    for k in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("cls").alias(k), F.col("marks").alias(f"{k}_marks")), k)
+    alike = pairs.where(surely_unequal(F.col("a_marks"), F.col("b_marks"), spec) <= spec.coordinates - least).select("a", "b")
+    met = both_sides(stored(alike, "alike"), classes, ["tokens"])
+    return met.select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("m")).where(F.col("m") >= least)
 
 
 def sizes_allow(x: Column, y: Column, spec: Spec) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * spec.percent
 
 
-def measure(pairs: DataFrame, texts: DataFrame, spec: Spec, difference: bool) -> DataFrame:
-    """(a, b, na, nb, linked, diff) on the full shingle sets.
+def texts_of(wanted: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    """(cls, text) for the wanted classes, from the row that stands for each."""
+    some = checked_broadcast(stored(wanted.distinct().join(classes.select("cls", "id", "seal"), "cls"), "some"))
+    same = F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.seal") == F.col("s.seal"))
+    return stored(source.select("id", "seal", "text").alias("d").join(some.alias("s"), same).select("s.cls", "d.text").dropDuplicates(["cls"]), "texts")
 
-    ``diff`` is null unless asked for and the distance is at most twice a link's; else it names the shingles that one
-    of the two has alone.
-    """
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+
+
+def measure(pairs: DataFrame, texts: DataFrame, spec: Spec, difference: bool) -> DataFrame:
+    """(a, b, na, nb, linked, diff) on the full shingle sets; ``diff``, if asked for, names the shingles that one of the two has alone."""
     ship(pairs.sparkSession)
-    both = checked_broadcast(pairs.select("a", "b")).join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    wide = 2 * spec.percent - 100
+    both = both_sides(pairs, texts, ["text"]).select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(spec)
-        last, kept, named = None, frozenset(), np.empty(0, np.uint64)  # pairs come in order of b
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+            ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             out = []
-            for i in range(len(a)):
-                if b[i] != last:
-                    last, kept, named = b[i], shingle_set(tb[i], spec.shingle), signer.names(tb[i])
-                mine = shingle_set(ta[i], spec.shingle)
-                common = len(mine & kept)
-                union = len(mine) + len(kept) - common
-                diff = np.setxor1d(signer.names(ta[i]), named, assume_unique=True).view(np.int64) if difference and 100 * common >= wide * union else None
-                out.append((len(mine), len(kept), 100 * common >= spec.percent * union, diff))
+            for i in range(len(ta)):
+                mine, other = shingle_set(ta[i], spec.shingle), shingle_set(tb[i], spec.shingle)
+                common = len(mine & other)
+                union = len(mine) + len(other) - common
+                diff = np.setxor1d(signer.names(ta[i]), signer.names(tb[i]), assume_unique=True).view(np.int64) if difference else None
+                out.append((len(mine), len(other), 100 * common >= spec.percent * union, diff))
             columns = list(zip(*out, strict=True)) or [()] * 4
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["a", "b", "na", "nb", "linked", "diff"])
@@ -223,10 +239,10 @@ def labelled(frame: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
 def rarest(rows: DataFrame, group: Sequence[str], keep: Column, short: Column) -> DataFrame:
     """Rows (x, size, elements and ``group`` columns) exploded to ``keep`` of their rarest elements; ``brief`` marks those among
     the first ``short``, ``at`` is the place among all ``n``.  Elements that no other row of the group has fill places and are left out."""
-    each = rows.select("x", *group, "size", keep.alias("keep"), short.alias("short"), F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    each = rows.select("x", *group, F.explode("elements").alias("e"))
     freq = each.groupBy(*group, "e").agg(F.count("*").alias("freq")).where("freq > 1")
-    firsts = [F.first(c).alias(c) for c in ("keep", "short", "n", "size")]
-    listed = each.join(freq, [*group, "e"]).groupBy("x", *group).agg(*firsts, F.sort_array(F.collect_list(F.struct("freq", "e"))).alias("list"))
+    listed = each.join(freq, [*group, "e"]).groupBy("x", *group).agg(F.sort_array(F.collect_list(F.struct("freq", "e"))).alias("list"))
+    listed = listed.join(rows.select("x", *group, "size", keep.alias("keep"), short.alias("short"), F.size("elements").alias("n")), ["x", *group])
     own = F.col("n") - F.size("list")
     room = (F.col("keep") - own).cast("int")
     rest = listed.where(room > 0).select("x", *group, "size", "n", "short", own.alias("own"), F.posexplode(F.slice("list", F.lit(1), room)).alias("at", "p"))
@@ -235,7 +251,7 @@ def rarest(rows: DataFrame, group: Sequence[str], keep: Column, short: Column) -
 
 
 def near_pairs(measured: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
-    """Candidates among members near one centre c of which one or both are not linked with it.
+    """Candidates among the members measured with one centre c of which one or both are not linked with it.
 
     Let D be the shingles in which a member differs from c.  x and y have the similarity s only if their difference
     |Dx| + |Dy| - 2 |Dx and Dy| is at most q (|x| + |y|) with q = (1 - s) / (1 + s).  If y is not linked with c,
@@ -244,9 +260,8 @@ def near_pairs(measured: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
     """
     s = spec.percent / 100
     q = (1 - s) / (1 + s)
-    near = measured.where("diff is not null")
-    loose = near.where("not linked").select("b").distinct()
-    rows = near.join(loose, "b").select(F.col("a").alias("x"), F.col("b").alias("c"), "na", "nb", "linked", F.col("diff").alias("elements"), F.col("na").alias("size"))
+    loose = measured.where("not linked").select("b").distinct()
+    rows = measured.join(loose, "b").select(F.col("a").alias("x"), F.col("b").alias("c"), "na", "nb", "linked", F.col("diff").alias("elements"), F.col("na").alias("size"))
     n = F.size("elements")
     short = n - F.greatest(F.lit(1), F.ceil((n + q * (F.col("nb") - F.col("na"))) / 2 - 1e-9)) + 1
     long = n - F.greatest(F.lit(1), F.ceil(n - q * (1 + 1 / s) * F.col("na") - 1e-9)) + 1
@@ -258,21 +273,24 @@ def near_pairs(measured: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
 
 
 def far_pairs(lists: DataFrame, mixed: DataFrame, measured: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
-    """Candidates of one list of which one or both are far from its centre.
+    """Candidates of one list of which one or both are far from its centre, that is, have too few collisions with it.
 
-    A member far from a centre has no link with one that is linked with the centre, since the distance is a metric;
-    so only members not linked with the centre come in, and pairs near it are left to :func:`near_pairs`.  Members
-    meet by their marks: a pair with too many coordinates that differ for sure is never made.
+    Such a member has no link with one that is linked with the centre, since the distance is a metric; so only members
+    not linked with the centre come in, and pairs measured with it are left to :func:`near_pairs`.  Members meet by
+    their marks: a pair with too many coordinates that differ for sure is never made.  A pair is made in the first of
+    the lists that both are loose in; if that one leaves it to :func:`near_pairs`, the later ones need not make it.
     """
-    seen = measured.select(F.col("a").alias("cls"), F.col("b").alias("first"), "linked", F.col("diff").isNotNull().alias("near"))
+    seen = measured.select(F.col("a").alias("cls"), F.col("b").alias("first"), "linked", F.lit(True).alias("near"))
     loose = lists.join(mixed, "token", "left_semi").where("cls <> first").join(seen, ["cls", "first"], "left").where("not coalesce(linked, false)")
     rows = loose.join(classes.select("cls", "n_shingles", "marks"), "cls")
-    rows = stored(rows.select("token", F.col("cls").alias("x"), "comp", F.col("n_shingles").alias("size"), "marks", F.coalesce("near", F.lit(False)).alias("near")), "loose")
+    rows = rows.select("token", F.col("cls").alias("x"), "comp", F.col("n_shingles").alias("size"), "marks", F.coalesce("near", F.lit(False)).alias("near"))
+    before = F.collect_list("token").over(Window.partitionBy("x").orderBy("token").rowsBetween(Window.unboundedPreceding, -1))
+    rows = stored(rows.withColumn("before", before), "loose")
     left, right = rows.alias("l"), rows.alias("r")
     far = surely_unequal(F.col("l.marks"), F.col("r.marks"), spec) <= spec.coordinates - spec.matches
     apart = (F.col("l.x") > F.col("r.x")) & (F.col("l.comp") != F.col("r.comp")) & ~(F.col("l.near") & F.col("r.near"))
     on = (F.col("l.token") == F.col("r.token")) & apart & sizes_allow(F.col("l.size"), F.col("r.size"), spec) & far
-    return left.join(right, on).select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
+    return left.join(right, on & ~F.arrays_overlap("l.before", "r.before")).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
 
 
 def met(posts: DataFrame, on: Sequence[str], allowed: Column, spec: Spec) -> DataFrame:
@@ -315,12 +333,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     lists = posts.select("cls", "token").join(firsts, "token")
 
     star = lists.where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
-    likely = stored(collisions(star, classes).where(F.col("m") >= spec.measured), "likely")
-
-    # the texts of classes that can have partners
-    some = checked_broadcast(stored(lists.select("cls").distinct().join(classes.select("cls", "id", "seal"), "cls"), "some"))
-    same = F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.seal") == F.col("s.seal"))
-    texts = stored(source.select("id", "seal", "text").alias("d").join(some.alias("s"), same).select("s.cls", "d.text").dropDuplicates(["cls"]), "texts")
+    likely = stored(colliding(star, classes, spec.measured, spec), "likely")
+    texts = texts_of(ends(likely), classes, source)
 
     # one centre for each class settles most of them
     best = stored(likely.groupBy("a").agg(F.max(F.struct("m", "b")).alias("top")).select("a", F.col("top.b").alias("b")), "best")
@@ -337,8 +351,9 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     labels = components(links)
 
     left = near_pairs(measured, labels, spec).union(far_pairs(labelled(lists, labels, "cls", "comp"), mixed, measured, classes, spec)).distinct()
-    left = stored(left.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "left")
-    links = stored(links.union(measure(left, texts, spec, difference=False).where("linked").select("a", "b")), "links")
+    left = stored(colliding(left.join(measured.select("a", "b"), ["a", "b"], "left_anti"), classes, spec.matches, spec), "left")
+    all_texts = texts.unionByName(texts_of(ends(left).join(texts.select("cls"), "cls", "left_anti"), classes, source))
+    links = stored(links.union(measure(left, all_texts, spec, difference=False).where("linked").select("a", "b")), "links")
     labels = components(links)
 
     whole = labelled(classes.select("cls", "id"), labels, "cls", "comp")
