@@ -237,12 +237,12 @@ def labelled(frame: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
 
 
 def rarest(rows: DataFrame, group: Sequence[str], keep: Column, short: Column) -> DataFrame:
-    """Rows (x, size, elements and ``group`` columns) exploded to ``keep`` of their rarest elements; ``brief`` marks those among
+    """Rows (x, size, elements, their number n and ``group`` columns) exploded to ``keep`` of their rarest elements; ``brief`` marks those among
     the first ``short``, ``at`` is the place among all ``n``.  Elements that no other row of the group has fill places and are left out."""
     each = rows.select("x", *group, F.explode("elements").alias("e"))
     freq = each.groupBy(*group, "e").agg(F.count("*").alias("freq")).where("freq > 1")
     listed = each.join(freq, [*group, "e"]).groupBy("x", *group).agg(F.sort_array(F.collect_list(F.struct("freq", "e"))).alias("list"))
-    listed = listed.join(rows.select("x", *group, "size", keep.alias("keep"), short.alias("short"), F.size("elements").alias("n")), ["x", *group])
+    listed = listed.join(rows.select("x", *group, "size", keep.alias("keep"), short.alias("short"), "n"), ["x", *group])
     own = F.col("n") - F.size("list")
     room = (F.col("keep") - own).cast("int")
     rest = listed.where(room > 0).select("x", *group, "size", "n", "short", own.alias("own"), F.posexplode(F.slice("list", F.lit(1), room)).alias("at", "p"))
@@ -261,8 +261,8 @@ def near_pairs(measured: DataFrame, labels: DataFrame, spec: Spec) -> DataFrame:
     s = spec.percent / 100
     q = (1 - s) / (1 + s)
     loose = measured.where("not linked").select("b").distinct()
-    rows = measured.join(loose, "b").select(F.col("a").alias("x"), F.col("b").alias("c"), "na", "nb", "linked", F.col("diff").alias("elements"), F.col("na").alias("size"))
-    n = F.size("elements")
+    rows = measured.withColumn("n", F.size("diff")).join(loose, "b").select(F.col("a").alias("x"), F.col("b").alias("c"), "na", "nb", "linked", F.col("diff").alias("elements"), F.col("na").alias("size"), "n")
+    n = F.col("n")
     short = n - F.greatest(F.lit(1), F.ceil((n + q * (F.col("nb") - F.col("na"))) / 2 - 1e-9)) + 1
     long = n - F.greatest(F.lit(1), F.ceil(n - q * (1 + 1 / s) * F.col("na") - 1e-9)) + 1
     posts = rarest(rows, ["c"], F.when(F.col("linked"), short).otherwise(F.greatest(short, long)), short)
