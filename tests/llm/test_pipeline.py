@@ -50,3 +50,21 @@ def test_registered_queries(spark):
 def test_queries_return_a_row_for_each_row(spark, name, key):
     table = "pages" if key == "page_id" else "documents"
     assert driver.queries()[name](spark, SF).select(key).distinct().count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_stored_tables_go_at_the_end_of_a_stage(spark):
+    import os
+
+    from eventloom.llm.common import discarding, stored
+
+    def folder(df):
+        return os.path.dirname(df.inputFiles()[0].replace("file://", ""))
+
+    before = folder(stored(spark.range(3), "outside"))
+    with discarding(spark):
+        outer = folder(stored(spark.range(3), "outer"))
+        with discarding(spark):
+            inner = folder(stored(spark.range(3), "inner"))
+        assert not os.path.exists(inner) and os.path.exists(outer)
+    after = folder(stored(spark.range(3), "outside"))
+    assert not os.path.exists(outer) and os.path.exists(before) and os.path.exists(after)
