@@ -102,9 +102,10 @@ def apply_isotonic(rows: DataFrame, steps: DataFrame, keys: Sequence[str], score
         F.first("_least", True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("_from_right"),
     )
     both = values.unionByName(points, allowMissingColumns=True)
-    order = W.partitionBy(*keys, "_range").orderBy("_p", F.col("_row").isNotNull())
-    left = F.last("_point", True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    right = F.first("_point", True).over(order.rowsBetween(0, W.unboundedFollowing))
+    # Both passes run forwards over their order: a frame up to the end of a range would be summed anew for each of its rows.
+    group, is_row = W.partitionBy(*keys, "_range"), F.col("_row").isNotNull()
+    left = F.last("_point", True).over(group.orderBy("_p", is_row).rowsBetween(W.unboundedPreceding, 0))
+    right = F.last("_point", True).over(group.orderBy(F.desc("_p"), F.desc(is_row)).rowsBetween(W.unboundedPreceding, 0))
     met = both.select(*keys, "_range", "_row", "_p", left.alias("_left"), right.alias("_right")).where("_row IS NOT NULL").join(carried, [*keys, "_range"])
     a, b = F.coalesce("_left", "_from_left"), F.coalesce("_right", "_from_right")
     line = a["g"] + (b["g"] - a["g"]) * (F.col("_p") - a["p"]) / (b["p"] - a["p"])

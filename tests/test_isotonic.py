@@ -55,3 +55,11 @@ def test_cuts_spread_a_narrow_band(spark):
     cuts = range_splitters(rows, ["k"], "v", 16)
     sizes = [r["count"] for r in in_range(rows, cuts, ["k"], "v", "r").groupBy("r").count().collect()]
     assert len(sizes) == 16 and max(sizes) < 3 * min(sizes)
+
+
+def test_no_frame_over_the_rows_reaches_to_the_end(spark, capsys):
+    """Such a frame is summed anew for each row; only the one over the ranges, a row each, may be of this kind."""
+    df = spark.createDataFrame([(1, i / 9, i % 2) for i in range(9)], "seed INT, p_raw DOUBLE, y_true INT")
+    I.apply_isotonic(df, I.isotonic_fit(df, ["seed"]), ["seed"]).explain("extended")
+    frames = [s for s in capsys.readouterr().out.split("\n") if "windowspecdefinition" in s and "unboundedfollowing" in s.lower()]
+    assert frames and all("_from_right" in s for s in frames)
