@@ -16,6 +16,7 @@ from ..functions.intervals import inside_any
 from ..functions.predicates import any_of, ilike_any
 from ..functions.ranks import exact_quantiles
 from ..functions.skew import literal_table, lookup_join, salted_join
+from ..session import materialise
 from .concepts import ConceptSpec, Vocabulary, resolve_all
 from .windows import in_person_window, overlapping
 
@@ -131,8 +132,9 @@ def drug_ingredients(
         F.col("ancestor_concept_id").alias("ingredient_id"),
         "ingredient_name",
     )
-    days = drugs.where(F.col("concept_id") > 0).select("person_id", "concept_id", "event_date").distinct()
-    taken = in_person_window(days, cohort, "acute_start", "acute_end").select("person_id", "concept_id").distinct()
+    # Hardly a drug is told twice on a day: rows meet their person's window at once, in one shuffle, and few are left to be made distinct.
+    rows = drugs.where(F.col("concept_id") > 0).select("person_id", "concept_id", "event_date")
+    taken = in_person_window(rows, cohort, "acute_start", "acute_end").select("person_id", "concept_id").distinct()
     return lookup_join(taken, members, ["concept_id"], ["person_id"]).select(
         "person_id", "ingredient_id", "ingredient_name"
     ).distinct()
@@ -154,7 +156,8 @@ def ingredient_hits(pairs: DataFrame, qualifying: DataFrame) -> DataFrame:
 
 
 def ingredient_flags(pairs: DataFrame, cohort: DataFrame, min_prev: float = 0.01, min_count: int = 0) -> DataFrame:
-    """Wide form: the qualifying names (vocabulary-sized) become the pivot list."""
+    """Wide form: the qualifying names (vocabulary-sized) become the pivot list.  The pairs are stored, as they are read three times."""
+    pairs = materialise(pairs, "ingredient-pairs")
     qualifying = qualifying_ingredients(pairs, cohort, min_prev, min_count)
     names = [r.feature for r in qualifying.select("feature").distinct().orderBy("feature").collect()]
     return flags(cohort, ingredient_hits(pairs, qualifying), names, "feature")
@@ -185,10 +188,14 @@ def index_stays(visits: DataFrame, cohort: DataFrame, types: Sequence[int], befo
 def regimen_flag(
     drugs: DataFrame, cohort: DataFrame, visits: DataFrame, membership: DataFrame, types: Sequence[int], name: str
 ) -> DataFrame:
-    """Inpatients given a drug of the set inside the acute window and during a qualifying visit."""
+    """Inpatients given a drug of the set inside the acute window and during a qualifying visit.
+
+    Days and stays are read several times by their join and stored before it.
+    """
     inpatients = cohort.where(F.col("is_inpatient") == 1)
-    given = in_person_window(set_days(drugs, membership), inpatients, "acute_start", "acute_end")
-    hits = during_visits(given, index_stays(visits, inpatients, types)).select("person_id").distinct()
+    given = materialise(in_person_window(set_days(drugs, membership), inpatients, "acute_start", "acute_end"), "given")
+    stays = materialise(index_stays(visits, inpatients, types), "index-stays")
+    hits = during_visits(given, stays).select("person_id").distinct()
     return flags(cohort, hits.withColumn("set_id", F.lit(name)), [name])
 
 

@@ -1,17 +1,19 @@
 """Keys that reach the numbers of other concepts, and results that must not hang on the order of rows."""
 
+import datetime as dt
 import os
 import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 from check_oracle import difference  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
-from eventloom.operators import metrics  # noqa: E402
+from eventloom.operators import blocks, metrics  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -53,3 +55,19 @@ def test_step_up_values_on_half_a_digit(spark, tmp_path):
         folder = tmp_path / str(place)
         spark.createDataFrame(order, "l_linenumber INT, l_suppkey LONG, l_discount DOUBLE, l_tax DOUBLE").coalesce(1).write.parquet(str(folder / "lineitem.parquet"))
         assert [r.p for r in entry.queries()["bh_adjust"](spark, str(folder)).collect()] == [0.005063]
+
+
+def test_drug_rows_are_shuffled_once_and_shared_tables_stored(spark, vocabulary, tmp_path):
+    """Rows meet their person's window before they are made distinct; what a query reads several times is a stored table."""
+    drugs = spark.createDataFrame([(1, 7, dt.date(2020, 1, 3), 1)] * 2, "person_id LONG, concept_id LONG, event_date DATE, event_id LONG")
+    day = dt.date(2020, 1, 1)
+    cohort = spark.createDataFrame([(1, day, day, dt.date(2020, 1, 20), 1)], "person_id LONG, index_date DATE, acute_start DATE, acute_end DATE, is_inpatient INT")
+    plan = blocks.drug_ingredients(drugs, cohort, vocabulary)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [s for s in plan.split("\n") if "Aggregate" in s and "event_date" in s]
+    pairs = spark.createDataFrame([(1, 7, "one")], "person_id LONG, ingredient_id LONG, ingredient_name STRING")
+    wide = blocks.ingredient_flags(pairs, cohort)
+    assert [r.asDict() for r in wide.collect()] == [{"person_id": 1, "f_drug_one": 1}] and any("ingredient-pairs" in f for f in wide.inputFiles())
+    visits = drugs.select("person_id", "event_id", F.lit(2).cast("long").alias("concept_id"), "event_date", F.lit(None).cast("date").alias("end_date"))
+    members = spark.createDataFrame([("s", 7)], "set_id STRING, concept_id LONG")
+    given = blocks.regimen_flag(drugs, cohort, visits, members, (2,), "f")
+    assert [r.f for r in given.collect()] == [1] and {"given", "index-stays"} <= {f.split("/")[-2].rsplit("-", 1)[0] for f in given.inputFiles()}
