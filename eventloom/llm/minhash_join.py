@@ -151,11 +151,11 @@ def prefix_postings(classes: DataFrame, spec: Spec) -> DataFrame:
     """(cls, token, common) for the rarest coordinates of each class that others share; a coordinate of its own fills a
     place of the prefix.  ``common`` tells how common the class's coordinates are altogether."""
     postings = classes.select("cls", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
-    rare = postings.join(shared, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("list"))
-    room = F.size("list") - F.lit(spec.coordinates - spec.prefix)
-    common = F.aggregate("list", F.lit(0).cast("long"), lambda total, p: total + p["freq"])
-    return rare.where(room > 0).select("cls", common.alias("common"), F.explode(F.slice("list", F.lit(1), room)).alias("p")).select("cls", F.col("p.token").alias("token"), "common")
+    # each posting is shuffled once by its token and, if shared, once by its class; nothing else is
+    shared = postings.withColumn("freq", F.count("*").over(Window.partitionBy("token"))).where("freq > 1")
+    of, rank = Window.partitionBy("cls"), Window.partitionBy("cls").orderBy("freq", "token")
+    placed = shared.withColumn("place", F.row_number().over(rank)).withColumn("n", F.count("*").over(of)).withColumn("common", F.sum("freq").over(of))
+    return placed.where(F.col("place") <= F.col("n") - F.lit(spec.coordinates - spec.prefix)).select("cls", "token", "common")
 
 
 def both_sides(pairs: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -213,7 +213,7 @@ def measure(pairs: DataFrame, texts: DataFrame, spec: Spec, difference: bool) ->
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["a", "b", "na", "nb", "linked", "diff"])
 
-    return both.mapInArrow(freeing(run), "a binary, b binary, na long, nb long, linked boolean, diff array<long>")
+    return both.mapInArrow(freeing(run), "a long, b long, na long, nb long, linked boolean, diff array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -324,8 +324,9 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     more = [f"also_{i}" for i in range(len(also))]
     rows = stored(signed(source, ["id", *more, "seal"], "text", spec), "signed")
     classes = stored(
-        rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "seal")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("marks").alias("marks"))
-        .select("cls", F.col("r.id").alias("id"), F.col("r.seal").alias("seal"), "n_shingles", "tokens", "marks"),
+        rows.where("cls is not null").groupBy(F.col("cls").alias("digest")).agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "seal")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("marks").alias("marks"))
+        # a number is half of the digest in every table of classes and pairs
+        .select(F.monotonically_increasing_id().alias("cls"), "digest", F.col("r.id").alias("id"), F.col("r.seal").alias("seal"), "n_shingles", "tokens", "marks"),
         "classes",
     )
     posts = stored(prefix_postings(classes, spec), "posts")
@@ -356,9 +357,9 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     links = stored(links.union(measure(left, all_texts, spec, difference=False).where("linked").select("a", "b")), "links")
     labels = components(links)
 
-    whole = labelled(classes.select("cls", "id"), labels, "cls", "comp")
+    whole = labelled(classes.select("cls", "digest", "id"), labels, "cls", "comp")
     least = whole.groupBy("comp").agg(F.min("id").alias("component_id"))
-    by_class = whole.join(least, "comp").select("cls", "component_id")
+    by_class = whole.join(least, "comp").select(F.col("digest").alias("cls"), "component_id")
     out = rows.drop("tokens", "marks", "seal").join(by_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(

@@ -185,3 +185,16 @@ def test_columns_named_like_the_seal_are_kept(spark, prose):
     bench = spark.createDataFrame([("a", prose(2, 40))], "item_id STRING, text STRING")
     assert sorted(map(tuple, decontaminate.drop_contaminated(docs, bench).collect())) == rows[:2]
     assert sorted(map(tuple, minhash_join.drop_near_duplicates(docs).collect())) == [rows[0], rows[2]]
+
+
+def test_postings_are_numbers_of_classes_and_the_rarest_shared_ones(spark):
+    spec = minhash_join.Spec(coordinates=4, matches=3)  # a prefix of two
+    classes = spark.createDataFrame([(1, [10, 20, 30, 40]), (2, [10, 20, 31, 40]), (3, [11, 20, 32, 40]), (4, [12, 21, 33, 41])], "cls long, tokens array<long>")
+    got = sorted(tuple(r) for r in minhash_join.prefix_postings(classes, spec).collect())
+    # class 1 and 2 share 10 (2), 20 (3), 40 (3): a token of its own fills a place; class 3 has two of its own
+    assert got == [(1, 10, 8), (2, 10, 8)]
+    docs = spark.createDataFrame([(5, "a b c d"), (6, "A b c d"), (7, "x")], "doc_id long, text string")
+    found = {r.doc_id: (r.component_id, r.kept) for r in minhash_join.near_duplicates(docs).collect()}
+    assert found == {5: (5, True), 6: (5, False), 7: (7, True)}
+    stored = minhash_join.measure(spark.createDataFrame([(1, 2)], "a long, b long"), spark.createDataFrame([(1, "a b"), (2, "a b c")], "cls long, text string"), minhash_join.Spec(), True)
+    assert dict(stored.dtypes)["a"] == "bigint" and stored.count() == 1
