@@ -182,14 +182,14 @@ class ForcedBpe:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
-ENCODERS: dict[str, ForcedBpe] = {}
+ENCODERS: dict[tuple[str, int], ForcedBpe] = {}
 
 
-def encoder(path: str) -> ForcedBpe:
-    """One encoder for each worker process and file; its memo is emptied at the end of a task."""
-    if path not in ENCODERS:
-        ENCODERS[path] = ForcedBpe(path)
-    return ENCODERS[path]
+def encoder(path: str, memo: int = 100_000) -> ForcedBpe:
+    """One encoder for each worker process, file and size of the memo; its memo is emptied at the end of a task."""
+    if (path, memo) not in ENCODERS:
+        ENCODERS[path, memo] = ForcedBpe(path, memo)
+    return ENCODERS[path, memo]
 
 
 def tokenizer_path(name: str) -> str:
@@ -198,7 +198,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def encode_documents(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Words in a half of the memo where ids are kept whole; the frequent ones stay in it, the results do not depend on it.
+SMALL_MEMO = 20_000
+
+
+def encode_documents(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", memo: int = SMALL_MEMO) -> DataFrame:
     """Token ids of every whole text and the text decoded from them: columns ``ids`` (array of int) and ``decoded``.
 
     ``path`` is the vocabulary file, readable on every worker.  Null and empty texts have no ids and decode to the
@@ -207,11 +211,11 @@ def encode_documents(documents: DataFrame, path: str, doc_id: str = "doc_id", te
     """
 
     def start():
-        bpe = encoder(path)
+        bpe = encoder(path, memo)
 
         def one(value: str | None) -> tuple:
-            ids = bpe.encode(value or "")
-            return ids, bpe.decode(ids)
+            parts = [p for p in bpe.pieces(value or "") if p[1]]
+            return [i for p in parts for i in p[3]], " ".join([p[2] for p in parts])
 
         one.forget = bpe.forget
         return one
