@@ -25,7 +25,8 @@ def test_encoding_many_distinct_words_holds_few_of_them(monkeypatch):
     path = forced_bpe.tokenizer_path("word_bpe_49k.json")
     forced_bpe.encode_documents(None, path)
     one = got["start"]()
-    texts = [" ".join(f"w{i * 7919 % 1_000_003:x}" for i in range(k, k + 1000)) for k in range(0, 120_000, 1000)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(f"{i * 7919 % 1_000_003:06}".translate(letters) for i in range(k, k + 1000)) for k in range(0, 120_000, 1000)]
     first = one(texts[0])
     tracemalloc.start()
     for t in texts:
