@@ -61,3 +61,12 @@ def test_drug_rows_are_shuffled_once_and_shared_tables_stored(spark, vocabulary,
     members = spark.createDataFrame([("s", 7)], "set_id STRING, concept_id LONG")
     given = blocks.regimen_flag(drugs, cohort, visits, members, (2,), "f")
     assert [r.f for r in given.collect()] == [1] and {"given", "index-stays"} <= {f.split("/")[-2].rsplit("-", 1)[0] for f in given.inputFiles()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_drug_row_counts_for_its_own_brand(spark, shifted):
+    """Rows of part keys from 1,000,000 on count too, once each and not for the brand whose number they share."""
+    folder, con = shifted
+    got = {r.brand: r.n for r in entry.queries()["brand_counts"](spark, folder).collect()}
+    want = con.execute("SELECT CAST(substr(p_brand, 7) AS BIGINT), count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
+    assert got == dict(want.fetchall())
