@@ -39,6 +39,14 @@ def expit(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """Nearest whole number of ``x * 10^digits`` in doubles, halves away from zero; Spark's ``round`` takes the shortest decimal of ``x`` instead."""
+    y = x * F.lit(10.0**digits)
+    whole = F.rint(y)
+    off = y - whole
+    return F.when((off == 0.5) & (y > 0), whole + 1).when((off == -0.5) & (y < 0), whole - 1).otherwise(whole) / F.lit(10.0**digits)
+
+
 def mean_ci(values: Column) -> dict[str, Column]:
     """Mean, sample sd and normal 95 % interval of the finite values; one value has sd 0."""
     v = F.when(values.isNotNull() & ~F.isnan(values) & (F.abs(values) != F.lit(float("inf"))), values)

@@ -70,3 +70,14 @@ def test_every_drug_row_counts_for_its_own_brand(spark, shifted):
     got = {r.brand: r.n for r in entry.queries()["brand_counts"](spark, folder).collect()}
     want = con.execute("SELECT CAST(substr(p_brand, 7) AS BIGINT), count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
     assert got == dict(want.fetchall())
+
+
+def test_means_on_half_a_digit_are_rounded_as_in_the_sql(spark, tmp_path):
+    """0.0040125 has its half below the double's true half: the SQL rounds it down."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT 6 AS l_linenumber, s AS l_suppkey, 0.0::DOUBLE AS l_discount, CASE WHEN i = 0 THEN s / 100.0::DOUBLE ELSE 0.0 END AS l_tax
+        FROM range(300, 400) t(s), range(80) r(i)) TO '{tmp_path}/lineitem.parquet'""")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = {r.id: (r.p, r.p_bh) for r in entry.queries()["bh_adjust"](spark, str(tmp_path)).collect()}
+    want = {r[1]: (r[2], r[4]) for r in con.execute(entry.oracle_sql()["bh_adjust"]).fetchall()}
+    assert got == want
